@@ -5,10 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import leak, mixing, residue
+from ticketloom.llm import langid, leak, markup, mixing, quality, residue
 from ticketloom.session import read
 
 
+def _codes(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """The label table; more than a thousand languages are an error, not a sample."""
+    rows = read(spark, root, "language_codes").where("lang is not null").select("lang", "label").limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("language_codes has more than 1000 rows")
+    return [(r.lang, r.label) for r in rows]
+
+
+def _language_network(spark: SparkSession, root: str) -> tuple[langid.Network, list[tuple[str, str]]]:
+    codes = _codes(spark, root)
+    named = langid.named_language(F.col("ticket_language"), codes).alias("lang")
+    tickets = read(spark, root, "tickets").select(F.col("issue_id").alias("id"), F.col("description").alias("text"), named)
+    return langid.train_on(read(spark, root, "documents"), doubtful=tickets), codes
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    net, codes = _language_network(spark, root)
+    wrong = langid.wrong_labels(read(spark, root, "tickets"), net, codes, "issue_id", "description", "ticket_language")
+    return wrong.select("issue_id", "lang")
+
+
+def p1_segments(spark: SparkSession, root: str) -> DataFrame:
+    """Every segment of every description with its language and confidence."""
+    net, _ = _language_network(spark, root)
+    tickets = read(spark, root, "tickets").groupBy("issue_id").agg(F.min("description").alias("description"))
+    return langid.label_segments(tickets, net, "issue_id", "description")
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return residue.find_residue(read(spark, root, "tickets"), "issue_id", "summary_in_english", "components").select(F.col("id").alias("issue_id"))
 
@@ -23,6 +51,22 @@ def p5_to_embed(spark: SparkSession, root: str) -> DataFrame:
     return residue.keep_content(read(spark, root, "tickets"), "issue_id", "summary_in_english", "components").select("issue_id", "exported_at", "summary_in_english")
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return markup.find_markup(read(spark, root, "tickets"), "issue_id", "description", "creator")
+
+
+def p7_clean(spark: SparkSession, root: str) -> DataFrame:
+    """Every description without markup."""
+    rows = read(spark, root, "tickets").select("issue_id", "exported_at", "description")
+    return rows.select("issue_id", "exported_at", markup.clean_text("description").alias("clean_text"))
+
+
+def p7_wrappers(spark: SparkSession, root: str) -> DataFrame:
+    """The wrappers of each web site."""
+    pages = read(spark, root, "web_pages").withColumn("host", F.expr("try_parse_url(url, 'HOST')"))
+    return markup.infer_wrappers(markup.signatures(pages, "page_id", "html", "host")).select("host", "wrapper").distinct()
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return leak.find_leaks(read(spark, root, "documents"), read(spark, root, "eval_items"))
 
@@ -35,5 +79,17 @@ def p9_report(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix_report(read(spark, root, "documents"), read(spark, root, "source_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_forms, p5_to_embed, p8_found, p9_mix, p9_report)}
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return quality.text_types(read(spark, root, "documents")).where("prose < 0.5").select("doc_id").distinct()
+
+
+def p10_types(spark: SparkSession, root: str) -> DataFrame:
+    return quality.text_types(read(spark, root, "documents"))
+
+
+def p10_stats(spark: SparkSession, root: str) -> DataFrame:
+    return quality.statistics(read(spark, root, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p5_found, p5_forms, p5_to_embed, p7_found, p7_clean, p7_wrappers, p8_found, p9_mix, p9_report, p10_found, p10_types, p10_stats)}
 SQL: dict[str, str] = {}
