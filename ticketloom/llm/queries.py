@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import langid, leak, markup, mixing, quality, residue
+from ticketloom.llm import langid, leak, mail, markup, mixing, quality, residue
 from ticketloom.session import read
 
 
@@ -51,6 +51,15 @@ def p5_to_embed(spark: SparkSession, root: str) -> DataFrame:
     return residue.keep_content(read(spark, root, "tickets"), "issue_id", "summary_in_english", "components").select("issue_id", "exported_at", "summary_in_english")
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return mail.find_inherited(read(spark, root, "tickets"), "issue_id", "description")
+
+
+def p6_new_text(spark: SparkSession, root: str) -> DataFrame:
+    """Every description cut down to its newly written lines."""
+    return mail.newly_written(read(spark, root, "tickets"), "issue_id", "description")
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return markup.find_markup(read(spark, root, "tickets"), "issue_id", "description", "creator")
 
@@ -91,5 +100,5 @@ def p10_stats(spark: SparkSession, root: str) -> DataFrame:
     return quality.statistics(read(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p5_found, p5_forms, p5_to_embed, p7_found, p7_clean, p7_wrappers, p8_found, p9_mix, p9_report, p10_found, p10_types, p10_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p5_found, p5_forms, p5_to_embed, p6_found, p6_new_text, p7_found, p7_clean, p7_wrappers, p8_found, p9_mix, p9_report, p10_found, p10_types, p10_stats)}
 SQL: dict[str, str] = {}
