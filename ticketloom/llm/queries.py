@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import langid, leak, mail, markup, mixing, quality, residue
+from ticketloom.llm import langid, leak, mail, markup, mixing, pii, quality, residue
 from ticketloom.session import read
 
 
@@ -37,6 +37,20 @@ def p1_segments(spark: SparkSession, root: str) -> DataFrame:
     return langid.label_segments(tickets, net, "issue_id", "description")
 
 
+_PII_FIELDS = ["description", "solution"]
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    tickets = read(spark, root, "tickets")
+    return pii.find_pii(tickets, pii.fit(tickets, "issue_id", _PII_FIELDS), "issue_id", _PII_FIELDS)
+
+
+def p4_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """The tickets' texts with typed placeholders."""
+    tickets = read(spark, root, "tickets").select("issue_id", "exported_at", *_PII_FIELDS)
+    return pii.redact(tickets, pii.fit(tickets, "issue_id", _PII_FIELDS), _PII_FIELDS)
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return residue.find_residue(read(spark, root, "tickets"), "issue_id", "summary_in_english", "components").select(F.col("id").alias("issue_id"))
 
@@ -100,5 +114,5 @@ def p10_stats(spark: SparkSession, root: str) -> DataFrame:
     return quality.statistics(read(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p5_found, p5_forms, p5_to_embed, p6_found, p6_new_text, p7_found, p7_clean, p7_wrappers, p8_found, p9_mix, p9_report, p10_found, p10_types, p10_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p4_found, p4_redacted, p5_found, p5_forms, p5_to_embed, p6_found, p6_new_text, p7_found, p7_clean, p7_wrappers, p8_found, p9_mix, p9_report, p10_found, p10_types, p10_stats)}
 SQL: dict[str, str] = {}
