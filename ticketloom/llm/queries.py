@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import langid, leak, mail, markup, mixing, pii, quality, residue
+from ticketloom.llm import langid, leak, mail, markup, mcl, mixing, pii, quality, residue
 from ticketloom.session import read
 
 
@@ -37,6 +37,19 @@ def p1_segments(spark: SparkSession, root: str) -> DataFrame:
     return langid.label_segments(tickets, net, "issue_id", "description")
 
 
+def _clusters(spark: SparkSession, root: str) -> DataFrame:
+    return mcl.cluster_vectors(read(spark, root, "helpdesk_summaries_embeddings"), "issue_id", "embeddings")
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return mcl.first_members(_clusters(spark, root)).select(F.col("first_id").alias("first_issue_id"), F.col("id").alias("issue_id"))
+
+
+def p2_summary(spark: SparkSession, root: str) -> DataFrame:
+    """Each cluster's size and most typical issues."""
+    return mcl.cluster_summary(_clusters(spark, root))
+
+
 _PII_FIELDS = ["description", "solution"]
 
 
@@ -114,5 +127,5 @@ def p10_stats(spark: SparkSession, root: str) -> DataFrame:
     return quality.statistics(read(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p4_found, p4_redacted, p5_found, p5_forms, p5_to_embed, p6_found, p6_new_text, p7_found, p7_clean, p7_wrappers, p8_found, p9_mix, p9_report, p10_found, p10_types, p10_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_summary, p4_found, p4_redacted, p5_found, p5_forms, p5_to_embed, p6_found, p6_new_text, p7_found, p7_clean, p7_wrappers, p8_found, p9_mix, p9_report, p10_found, p10_types, p10_stats)}
 SQL: dict[str, str] = {}
