@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ticketloom.plans import contract_queries
+from ticketloom.plans import contract_queries, ticket_queries
 
-MODULES = [contract_queries]
-FLAGSHIP = "p3_found"
+MODULES = [contract_queries, ticket_queries]
+FLAGSHIP = "ticket_clean_pipeline"
 
 
 def queries() -> dict:
