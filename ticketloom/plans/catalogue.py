@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ticketloom.plans import contract_queries, ticket_queries
+from ticketloom.plans import contract_queries, ticket_queries, vector_queries, web_queries
 
-MODULES = [contract_queries, ticket_queries]
+MODULES = [contract_queries, ticket_queries, vector_queries, web_queries]
 FLAGSHIP = "ticket_clean_pipeline"
 
 
