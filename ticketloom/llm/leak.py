@@ -76,13 +76,22 @@ def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
         return out ^ (out >> np.uint64(32))
 
 
+def _longest_run(same: np.ndarray) -> int:
+    """The longest run of true values down any column."""
+    padded = np.zeros((len(same) + 2, same.shape[1]), np.int8)
+    padded[1:-1] = same
+    step = np.diff(padded, axis=0).T
+    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    return int((ends - starts).max(initial=0))
+
+
 class Index:
     """The q-grams of one block of items."""
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, min_words: int = MIN_WORDS, edits: int = EDITS):
         self.q, self.min_words, self.edits = q, min_words, edits
         self.ids, self.codes, self.starts, self.ends, least = [], [], [], [], []
-        hashes, where, whose = [], [], []
+        short, hashes, where, whose = [], [], [], []
         for item_id, text in items:
             codes, starts, ends = letters(text)
             if len(starts) < min_words:
@@ -97,8 +106,9 @@ class Index:
             self.starts.append(starts)
             self.ends.append(ends)
             shortest = int((ends[min_words - 1 :] - starts[: len(starts) - min_words + 1]).min())
+            short.append(shortest)
             least.append(max(1, shortest + 1 - q - edits * q))
-        self.least = np.array(least, np.int64)
+        self.least, self.short = np.array(least, np.int64), np.array(short, np.int64)
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.h = h[order]
@@ -131,9 +141,15 @@ class Index:
             i, b, x, y = item[order], band[order], a[order], diagonal[order]
             new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (b[1:] != b[:-1])]))
             count = np.diff(np.append(new, len(i)))
-            for s, n in zip(new[count >= self.least[i[new]]], count[count >= self.least[i[new]]]):
-                part = y[s : s + n]
-                out[int(i[s]), int(part.min()), int(part.max())] = (int(i[s]), int(x[s]), int(x[s + n - 1]) + self.q, int(part.min()), int(part.max()))
+            enough = count >= self.least[i[new]]
+            for s, n in zip(new[enough], count[enough]):
+                k, part, at = int(i[s]), y[s : s + n], x[s : s + n]
+                # the bound holds for a stretch as long as a passage, not for the band as a whole
+                inside = np.searchsorted(at, at + self.short[k] - self.q, "right") - np.arange(n)
+                good = np.flatnonzero(inside >= self.least[k])
+                if len(good):
+                    last = int(at[min(n - 1, good[-1] + inside[good[-1]] - 1)]) + self.q
+                    out[k, int(part.min()), int(part.max())] = (k, int(at[good[0]]), last, int(part.min()), int(part.max()))
         return list(out.values())
 
     def aligned(self, codes: np.ndarray, item: int, a0: int, a1: int, low: int, high: int) -> bool:
@@ -148,8 +164,8 @@ class Index:
         same = np.zeros(at.shape, bool)
         inside = (at >= 0) & (at < len(codes))
         same[inside] = codes[at[inside]] == np.broadcast_to(x[:, None], at.shape)[inside]
-        if (same.sum(0) == len(x)).any():  # one diagonal matches throughout
-            return len(x) >= need
+        if _longest_run(same) >= need:  # a stretch without an edit
+            return True
         penalty, row, best = self.q, np.zeros(len(diagonals), np.int64), 0
         for s in same:
             stay = np.where(s, row + 1, row - penalty)
