@@ -49,7 +49,6 @@ _COMMON = frozenset(COMMON)
 _BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _END = re.compile(r"[.!?…][\"'”’»)\]]*\s+(?=[\"'“‘«(\[¿¡]*[^\W_])")
-_SYMBOL = re.compile(r"[^\w\s]|_")
 _RULES = re.compile(r"[|;={}<>\\\t·•~^#$%&*+@]|\.{3,}|(?<=\S)/(?=\s)|(?<=\S),(?=\S)|\s{3,}")
 
 
@@ -189,6 +188,9 @@ def _vote(against: bool, for_it: bool) -> int:
     return 1 if against else 2 if for_it else 0
 
 
+_DIGIT = re.compile(r"\d")
+_NUMERAL = re.compile(r"\d+")
+_RULE_HINT = re.compile(r"[|;={}<>\\\t·•~^#$%&*+@/,]|\.\.|\s\s")
 _DIGIT_TOKEN = re.compile(r"[^\s\d]*\d\S*")
 _UPPER_TOKEN = re.compile(r"\s[A-Z\u00c0-\u00de\u0100-\u017f\u0391-\u03a9\u0410-\u042f]")
 _ALNUM_TOKEN = re.compile(r"[^\s\w]*\w\S*")
@@ -199,12 +201,16 @@ def segment_figures(s: str, words: list[str], known: float | None) -> list[int]:
     k = len(words)
     n = len(s.split())
     chars = len(s) - s.count(" ") or 1
+    letters = len("".join(words))
     common = len([w for w in words if w in _COMMON]) / (k or 1)
-    symbols = len(_SYMBOL.findall(s)) / chars
-    digits = len(_DIGIT_TOKEN.findall(s)) / (n or 1)
-    rules = len(_RULES.findall(s)) / (n or 1)
+    numerals = digits = 0
+    if _DIGIT.search(s):
+        numerals = len("".join(_NUMERAL.findall(s)))
+        digits = len(_DIGIT_TOKEN.findall(s)) / (n or 1)
+    symbols = max(0, chars - letters - numerals) / chars
+    rules = len(_RULES.findall(s)) / (n or 1) if _RULE_HINT.search(s) else 0
     variety = len(set(words)) / (k or 1)
-    size = len("".join(words)) / (k or 1)
+    size = letters / (k or 1)
     capitals = 0
     if n >= 4 and not s.isupper():
         upper = len(_UPPER_TOKEN.findall(s)) / (n - 1)
