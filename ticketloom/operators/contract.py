@@ -73,21 +73,20 @@ _MARK, _END, _SELF = "﷐", "﷐﷑", "﷐﷒"
 
 def parsed(raw: Column) -> Column:
     """struct(quoting_ok, cells) of a raw record; cells are unquoted, doubled quotes are single."""
-    text = F.replace(F.regexp_replace(F.coalesce(raw, F.lit("")), r"\r\z", ""), F.lit(_MARK), F.lit(_SELF))
+    record = F.regexp_replace(F.coalesce(raw, F.lit("")), r"\r\z", "")
+    # a separator at both ends makes the outer pieces like all others: lambdas need no position but even or odd
+    text = F.replace(F.concat(F.lit(";"), record, F.lit(";")), F.lit(_MARK), F.lit(_SELF))
     pieces = F.split(text, '"', -1)
-    n = F.size(pieces)
 
     def bad(s: Column, i: Column) -> Column:
-        starts = (i > 0) & (s != "") & ~s.startswith(";")
-        ends = (i < n - 1) & (s != "") & ~s.endswith(";")
-        return (i % 2 == 0) & (starts | ends | s.contains("\n") | s.contains("\r"))
+        return (i % 2 == 0) & (s != "") & (~s.startswith(";") | ~s.endswith(";") | s.contains("\n") | s.contains("\r"))
 
     def rebuilt(s: Column, i: Column) -> Column:
-        return F.when(i % 2 == 1, s).when((s == "") & (i > 0) & (i < n - 1), F.lit('"')).otherwise(F.replace(s, F.lit(";"), F.lit(_END)))
+        return F.when(i % 2 == 1, s).when(s == "", F.lit('"')).otherwise(F.replace(s, F.lit(";"), F.lit(_END)))
 
-    joined = F.array_join(F.transform(pieces, rebuilt), "")
-    cells = F.transform(F.split(joined, _END, -1), lambda c: F.replace(c, F.lit(_SELF), F.lit(_MARK)))
-    ok = (n % 2 == 1) & (F.size(F.filter(pieces, bad)) == 0)
+    cells = F.split(F.array_join(F.transform(pieces, rebuilt), ""), _END, -1)
+    cells = F.transform(F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 2, F.lit(0))), lambda c: F.replace(c, F.lit(_SELF), F.lit(_MARK)))
+    ok = (F.size(pieces) % 2 == 1) & (F.size(F.filter(pieces, bad)) == 0)
     return F.struct(ok.alias("quoting_ok"), cells.alias("cells"))
 
 
