@@ -120,7 +120,7 @@ def test_dimensions(spark):
 def test_hdbscan(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(c, 0.1, (30, 3)) for c in ((0, 0, 0), (5, 5, 5))] + [rng.uniform(-20, 20, (6, 3))])
-    got = density.hdbscan(points(spark, x), 10).orderBy("id").toPandas()
+    got = density.hdbscan(points(spark, x), 10, neighbours=65).orderBy("id").toPandas()
     assert got.cluster_label[:30].nunique() == 1 and got.cluster_label[30:60].nunique() == 1 and got.cluster_label[0] != got.cluster_label[30]
     assert ((got.cluster_label == -1) == (got.probability == 0)).all() and got.probability.between(0, 1).all() and (got.cluster_label[60:] == -1).sum() >= 4
     sizes = got.cluster_label[got.cluster_label >= 0].value_counts()

@@ -65,6 +65,7 @@ class _Markdown(HTMLParser):
             self.rows = 0
             self.line(2)
         elif tag == "tr":
+            self.close_row()
             self.row = []
             self.line()
         elif tag in ("td", "th"):
@@ -74,6 +75,14 @@ class _Markdown(HTMLParser):
         elif tag in BLOCKS:
             self.line(2)
 
+    def close_row(self) -> None:
+        if self.row:
+            self.out.append(" |")
+            if self.rows == 0:
+                self.out.append("\n|" + " --- |" * len(self.row))
+            self.rows += 1
+        self.row = None
+
     def handle_endtag(self, tag):
         if tag in DROPPED:
             self.skip = max(0, self.skip - 1)
@@ -97,13 +106,10 @@ class _Markdown(HTMLParser):
             text = "".join(self.out[at:]).strip()
             if self.with_links and href and text:
                 self.out[at:] = [f"[{text}]({href})"]
-        elif tag == "tr" and self.row:
-            self.out.append(" |")
-            if self.rows == 0:
-                self.out.append("\n|" + " --- |" * len(self.row))
-            self.rows += 1
-            self.row = None
+        elif tag == "tr":
+            self.close_row()
         elif tag == "table":
+            self.close_row()
             self.line(2)
         elif tag in BLOCKS:
             self.line(2)
@@ -117,7 +123,7 @@ class _Markdown(HTMLParser):
 def _tidy(text: str) -> str:
     parts = re.split(r"(```.*?```)", text, flags=re.S)
     for i in range(0, len(parts), 2):
-        t = re.sub(r"\*\*\s*\*\*|(?<!\*)\*\s*\*(?!\*)", "", parts[i])
+        t = re.sub(r"\*\*\s*\*\*|(?<!\*)\*\s+\*(?!\*)", "", parts[i])
         t = re.sub(r"[ \t]+\n", "\n", t)
         t = re.sub(r"\n[ \t]+(?![-\d ])", "\n", t)
         parts[i] = re.sub(r"\n{3,}", "\n\n", t)

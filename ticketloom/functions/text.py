@@ -121,7 +121,7 @@ def between(c: Column, start: str, end: str) -> Column:
 
 def file_name(url: Column, extension: str = "md") -> Column:
     """A file name from a URL's path: parts joined by _, the last one's extension dropped, at most 100 characters before the new one."""
-    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
     n = F.size(parts)
     last = F.regexp_replace(F.element_at(parts, -1), r"(?<=.)\.[^.]*$", "")

@@ -148,8 +148,10 @@ def labels_of_tree(n: int, tree: list[tuple[int, int, float]], min_cluster_size:
     return labels, probability
 
 
-def hdbscan(rows: DataFrame, min_cluster_size: int = 10, min_samples: int | None = None, metric: str = "euclidean", neighbours: int = 30, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, cluster_label, probability) of every row with a vector."""
+def hdbscan(rows: DataFrame, min_cluster_size: int = 10, min_samples: int | None = None, metric: str = "euclidean", neighbours: int = 60, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, cluster_label, probability) of every row with a vector.
+
+    With fewer neighbours than rows the tree is that of the neighbour graph: far rows may join a cluster later than they should."""
     ids = _bounded(rows, id_col, vector_col)
     k = min_samples or min_cluster_size
     graph = nearest(rows, rows, max(neighbours, k), metric, id_col, vector_col, skip_self=True)
