@@ -31,6 +31,8 @@ TYPES = ("prose", "list", "table", "junk")
 PAIR_BITS, WORD_BITS = 21, 17
 #: A pair is known when so many documents besides its own hold it, and so many times more than chance lets expect.
 PAIR_DOCS, PAIR_LIFT = 2, 1.0
+#: Occurrences of a word that count within a document.
+WORD_CAP = 4
 ROUNDS = 60
 
 # Frequent function words of eight languages.
@@ -148,7 +150,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             inside = np.ones(len(h), bool)  # no pair crosses from one segment into the next
             inside[np.cumsum([len(x) for x in found if x]) - 1] = False
-            np.add.at(words, _words(h), 1)
+            at, n = np.unique(_words(h), return_counts=True)
+            words[at] += np.minimum(n, WORD_CAP)  # a long document weighs no more in words than it does in pairs
             pairs[_pairs(h)[inside[:-1]]] += 1  # once a document: repeated indices count once
     for name, x in (("w", words), ("p", pairs)):
         at = np.flatnonzero(x)
@@ -296,6 +299,9 @@ def first_guess(v: np.ndarray) -> np.ndarray:
     table = against[:, at("separators")] | against[:, at("digits")] | against[:, at("symbols")]
     brief = against[:, at("length")] | against[:, at("capitals")]
     prose = ~(junk | table | brief) & ((v == 2).sum(1) >= 5)
+    # votes that lean to prose make it likely even where one of them is against, but for those that tell junk
+    lean = ((v == 2).sum(1) / np.maximum(1, (v > 0).sum(1))) ** 3
+    out[:, 0] = np.where(junk, out[:, 0], np.maximum(out[:, 0], lean))
     for i, x in enumerate((prose, brief & ~table & ~junk, table & ~junk, junk)):
         out[x, i] = 1
     return out / out.sum(1, keepdims=True)
@@ -314,9 +320,6 @@ def posterior(pattern: np.ndarray, count: np.ndarray, rounds: int = ROUNDS) -> n
         log = np.log(prior)[None, :] + np.einsum("nfv,tfv->nt", hot, np.log(table))
         new = np.exp(log - log.max(1, keepdims=True))
         new /= new.sum(1, keepdims=True)
-        # A function never votes against what its type is defined by: the first guess stays as evidence of one vote.
-        new *= first_guess(v)
-        new /= new.sum(1, keepdims=True)
         if np.abs(new - p).max() < 1e-6:
             return new
         p = new
