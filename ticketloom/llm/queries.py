@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom.llm import langid, leak, mail, markup, mcl, mixing, pii, quality, residue
+from ticketloom.llm.sql import SQL
 from ticketloom.session import read
 
+__all__ = ["QUERIES", "SQL"]
+
 
 def _codes(spark: SparkSession, root: str) -> list[tuple[str, str]]:
     """The label table; more than a thousand languages are an error, not a sample."""
@@ -128,4 +131,3 @@ def p10_stats(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_summary, p4_found, p4_redacted, p5_found, p5_forms, p5_to_embed, p6_found, p6_new_text, p7_found, p7_clean, p7_wrappers, p8_found, p9_mix, p9_report, p10_found, p10_types, p10_stats)}
-SQL: dict[str, str] = {}
