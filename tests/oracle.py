@@ -40,7 +40,8 @@ def canonical(columns, rows):
 
 def assert_same(spark, name, query, sql):
     df = query(spark, DATA)
-    got = canonical(df.columns, [tuple(r) for r in df.toPandas().itertuples(index=False, name=None)])
+    rows = pd.DataFrame([r.asDict(True) for r in df.collect()], columns=df.columns)
+    got = canonical(df.columns, rows.itertuples(index=False, name=None))
     r = connection().sql(sql)
-    want = canonical(r.columns, r.df().itertuples(index=False, name=None))
+    want = canonical(r.columns, pd.DataFrame(r.fetchall(), columns=r.columns).itertuples(index=False, name=None))
     assert got == want, name
