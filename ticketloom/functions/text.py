@@ -57,18 +57,14 @@ def is_header_or_table(line: Column) -> Column:
 
 def ends_mail(line: Column) -> Column:
     """A sign-off or a privacy phrase anywhere in the line: nothing after it counts."""
-    low = F.lower(line)
-    hit = low.contains(SIGN_OFFS[0])
-    for phrase in [*SIGN_OFFS[1:], *PRIVACY]:
-        hit = hit | low.contains(phrase)
-    return hit
+    return F.lower(line).rlike("|".join(rf"\Q{phrase}\E" for phrase in [*SIGN_OFFS, *PRIVACY]))
 
 
 def clean_paragraph(line: Column) -> Column:
     """The line's sentences, trimmed, joined by ". " and ended by a full stop."""
     parts = F.filter(F.transform(F.split(line, SENTENCE, -1), strip), lambda s: s != "")
-    text = F.array_join(parts, ". ")
-    return F.when((text == "") | text.endswith("."), text).otherwise(F.concat(text, F.lit(".")))
+    # the stop is put where the text ends in anything else, so the text is worked out once
+    return F.regexp_replace(F.array_join(parts, ". "), r"(?<=[^.])\z", ".")
 
 
 def filter_email_content(c: Column) -> Column:
