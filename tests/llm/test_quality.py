@@ -69,3 +69,19 @@ def test_expectation_maximization_recovers_accuracies():
 @pytest.mark.parametrize("text", ["", " ", "\n"])
 def test_blank(text):
     assert quality.segments(text) == []
+
+
+def test_copies_do_not_vouch_for_their_own_pairs(spark):
+    docs, junk = corpus()
+    copied = [docs[i] for i in sorted(junk)[::5]]  # words in random order
+    df = spark.createDataFrame([*enumerate(docs), *((9000 + i, s) for i, s in enumerate(copied * 4))], "doc_id long, text string")
+    got = {r.doc_id for r in quality.text_types(df).where("prose < 0.5").collect()}
+    assert got == junk | set(range(9000, 9000 + 4 * len(copied)))
+
+
+def test_collision_load_is_taken_off(spark):
+    h = quality._Hash()(["alpha", "beta"])
+    slot = int(quality._pairs(h)[0])
+    rows = [("p", slot, 8), ("w", 0, 1000)]
+    pairs = lambda load: quality.Pairs(quality.pd.DataFrame([*rows, ("load", 0, load << quality.PAIR_BITS)], columns=["kind", "slot", "n"]))
+    assert pairs(0).known(h).all() and not pairs(6).known(h).any()

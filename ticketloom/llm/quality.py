@@ -12,8 +12,8 @@ own frequencies let expect in random order. The
 counts cover all documents in a sketch of fixed size, so its broadcast has a fixed bound.
 
 A null or blank text has no words: its shares are null and it is not reported. Very long texts are read whole, segment by
-segment. Repeated rows count as often as they occur but support each other's word pairs no more than a single other
-document does. An empty table gives empty results. Only the named columns are read, so clashing names do no harm.
+segment. Repeated rows count as often as they occur, but word pairs and words are counted once for each distinct text, so
+copies do not support each other's pairs. An empty table gives empty results. Only the named columns are read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -153,7 +153,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at, n = np.unique(_words(h), return_counts=True)
             words[at] += np.minimum(n, WORD_CAP)  # a long document weighs no more in words than it does in pairs
             pairs[_pairs(h)[inside[:-1]]] += 1  # once a document: repeated indices count once
-    for name, x in (("w", words), ("p", pairs)):
+    for name, x in (("w", words), ("p", pairs), ("load", pairs.sum(keepdims=True))):
         at = np.flatnonzero(x)
         yield pd.DataFrame({"kind": name, "slot": at, "n": x[at]})
 
@@ -167,18 +167,19 @@ class Pairs:
             part = rows[rows.kind == name]
             x[part.slot.to_numpy(np.int64)] = part.n.to_numpy(np.float32)
         self.total = max(1.0, float(rows[rows.kind == "w"].n.sum()))
+        self.load = float(rows[rows.kind == "load"].n.sum()) / (1 << PAIR_BITS)  # what other pairs are expected to add to a slot
 
     @classmethod
     def of(cls, docs: DataFrame, text_col: str) -> Pairs:
-        """Counted over all documents. At most 2 ** PAIR_BITS + 2 ** WORD_BITS rows reach the driver."""
-        counted = docs.select(text_col).mapInPandas(_count, "kind string, slot long, n long")
+        """Counted over all distinct texts. At most 2 ** PAIR_BITS + 2 ** WORD_BITS + 1 rows reach the driver."""
+        counted = docs.select(text_col).distinct().mapInPandas(_count, "kind string, slot long, n long")
         rows = counted.groupBy("kind", "slot").agg(F.sum("n").alias("n")).where(f"kind <> 'p' or n > {PAIR_DOCS}")
         return cls(rows.toPandas())
 
     def known(self, h: np.ndarray) -> np.ndarray:
-        """Whether each pair of neighbours is known; the document's own count is taken off."""
+        """Whether each pair of neighbours is known; the text's own count and the slot's expected collisions are taken off."""
         w = self.words[_words(h)]
-        n = self.pairs[_pairs(h)] - 1
+        n = self.pairs[_pairs(h)] - 1 - self.load
         return (n >= PAIR_DOCS) & (n > PAIR_LIFT * w[:-1] / self.total * w[1:])
 
 
