@@ -1,10 +1,12 @@
 import json
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ticketloom.operators import density, explore, tickets, tuning, vectors, web
+from ticketloom.plans import vector_queries
 from ticketloom.sources import files, sinks
 
 
@@ -225,3 +227,21 @@ def test_stream(spark, tmp_path):
     assert got.select("issue_id").count() == want.count() and got.join(want, "issue_id", "left_anti").count() == 0
     assert streaming.daily_counts(stream).isStreaming
     assert got.where(F.col("cleaned_summary").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("method", ["random", "bayesian"])
+def test_registered_tuning_searches_the_whole_space(spark, monkeypatch, method):
+    seen = []
+    monkeypatch.setattr(density, "score_configuration", lambda v, p: (20, seen.append(p) or abs(p["n_neighbors"] - 30) / 50))
+    got = vector_queries._tuned(spark, "/root/testdata/sf0.001", method)
+    assert got.count() == len(seen) == 30 and {p["n_neighbors"] for p in seen} - {5, 10, 15}
+    rng = random.Random(42)
+    drawn = [{k: rng.choice(v) for k, v in tuning.Space().axes().items()} for _ in range(30)]
+    assert (seen == drawn) == (method == "random")  # estimated ones are not drawn at random
+
+
+@pytest.mark.parametrize("method", ["random", "bayesian"])
+def test_tuning_lets_size_errors_surface(spark, monkeypatch, method):
+    monkeypatch.setattr(density, "MAX_POINTS", 3)
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        vector_queries._tuned(spark, "/root/testdata/sf0.001", method)

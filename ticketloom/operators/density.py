@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticketloom.operators.tuning import TooLarge
 from ticketloom.operators.vectors import core_distances, mutual_reachability, nearest
 
 MAX_POINTS = 200_000
@@ -22,7 +23,7 @@ def _bounded(rows: DataFrame, id_col: str, vector_col: str) -> np.ndarray:
     """The ids of the rows with a vector, in order."""
     got = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id")).distinct().limit(MAX_POINTS + 1).toPandas()
     if len(got) > MAX_POINTS:
-        raise ValueError(f"more than {MAX_POINTS} rows")
+        raise TooLarge(f"more than {MAX_POINTS} rows")
     return np.sort(got.id.to_numpy())
 
 
@@ -260,7 +261,7 @@ def umap(rows: DataFrame, layout: Layout = Layout(), id_col: str = "vec_id", vec
 
 def score_configuration(rows: DataFrame, params: dict, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 42, threshold: float = 0.05) -> tuple[int, float]:
     """(label_count, cost) of reducing and then clustering the rows with one configuration."""
-    reduced = umap(rows, Layout(params["n_neighbors"], params["n_components"], seed=seed, epochs=params.get("epochs", 60)), id_col, vector_col)
+    reduced = umap(rows, Layout(params["n_neighbors"], params["n_components"], seed=seed, epochs=params.get("epochs", Layout.epochs)), id_col, vector_col)
     got = hdbscan(reduced, params["min_cluster_size"], id_col="id", vector_col="v").toPandas()
     count = got.cluster_label[got.cluster_label != -1].nunique()
     return int(count), float((got.probability < threshold).mean()) if len(got) else 1.0

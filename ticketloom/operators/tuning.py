@@ -26,6 +26,10 @@ LOWER, UPPER, PENALTY, FAILED = 10, 75, 0.15, 999.0
 Score = Callable[[dict], tuple[int, float]]
 
 
+class TooLarge(ValueError):
+    """The table has more rows than the scored operator takes; no configuration can succeed, so the search ends with it."""
+
+
 def grid(spark: SparkSession, space: Space = Space()) -> DataFrame:
     """Every configuration: explodes of literal arrays on one row, no join."""
     df = spark.range(1)
@@ -59,6 +63,8 @@ def random_search(score: Score, evals: int = 30, space: Space = Space(), lower:
         params = {k: rng.choice(v) for k, v in space.axes().items()}
         try:
             count, cost = score(params)
+        except TooLarge:
+            raise
         except Exception:
             continue
         out.trials.append({"run_id": run, **params, "label_count": count, "cost": cost})
@@ -103,6 +109,8 @@ def bayesian_search(score: Score, evals: int = 30, space: Space = Space(), lower
         try:
             count, cost = score(params)
             value, status = cost + (0.0 if lower <= count <= upper else PENALTY), "ok"
+        except TooLarge:
+            raise
         except Exception:
             count, value, status = 0, FAILED, "fail"
         out.trials.append({"trial_id": trial, **params, "label_count": count, "loss": value, "status": status})

@@ -128,7 +128,7 @@ def umap_layout(spark: SparkSession, root: str) -> DataFrame:
 
 def _tuned(spark: SparkSession, root: str, method: str) -> DataFrame:
     v = _vectors(spark, root).cache()
-    found = tuning.tune(method, lambda p: density.score_configuration(v, p), evals=3, space=tuning.Space((5, 10, 15), (3, 5), (5, 10, 15)))
+    found = tuning.tune(method, lambda p: density.score_configuration(v, p))
     v.unpersist()
     names = list(found.trials[0]) if found.trials else ["run_id"]
     return spark.createDataFrame([tuple(t[k] for k in names) for t in found.trials], names if found.trials else "run_id int")
