@@ -65,3 +65,34 @@ def test_boosting_learns():
 def test_nothing_to_learn(spark):
     empty = spark.createDataFrame([], "issue_id long, description string")
     assert pii.fit(empty, "issue_id", ["description"]).spans(["a@b.example"])[0][0][2] == "email"
+
+
+class Known:
+    """A lexicon of the given words."""
+
+    def __init__(self, words):
+        self.words = words.lower().split()
+
+    def count(self, word):
+        return 50 * (word.lower() in self.words)
+
+
+def test_long_runs_are_proposed_whole():
+    known = Known("Luca Rossi Anna Bianchi Marc Dupont").count
+    run = lambda text: [(m.start(), m.end(), m[0]) for m in pii._CAP_WORD.finditer(text)]
+    for text, want in (
+        ("Luca Rossi, Anna Bianchi, Marc Dupont", ["Luca Rossi", "Anna Bianchi", "Marc Dupont"]),
+        ("LUCA ROSSI SENDS BACK EVERY SINGLE FORM ANNA BIANCHI", ["LUCA ROSSI", "ANNA BIANCHI"]),
+        ("Luca Rossi Anna Bianchi Marc Dupont", ["Luca Rossi Anna Bianchi", "Marc Dupont"]),
+        ("Rossi, Luca", ["Rossi, Luca"]),
+    ):
+        assert [text[w[0][0] : w[-1][1]] for w in pii._windows(run(text), text, known)] == want
+
+
+def test_third_name_and_second_phone_are_redacted(spark, detector):
+    text = "Dear team,\nPlease add Bob Ostaris, Luca Serecki, Bob Serecki to the list."
+    names = [c for c in pii.candidates(text, detector.lexicon) if c.kind == "name"]
+    assert [text[c.start : c.end] for c in names] == ["Bob Ostaris", "Luca Serecki", "Bob Serecki"]
+    text = "Please call 02 555 12 34 / 0478 12 34 56 today."
+    assert [text[a:b] for a, b in pii.numbers(text)] == ["02 555 12 34", "0478 12 34 56"]
+    assert pii.numbers("The key 12345678901234567890 is no number.") == []

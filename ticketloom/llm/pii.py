@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
@@ -86,7 +87,9 @@ _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01
 _AT = re.compile(r"@|[\[({<]\s?(?i:at|@)\s?[\])}>]")
 _DOMAIN = re.compile(r"[ ]?[\w-]+(?:\.[\w-]+|[ ]?(?:\[dot\]|\(dot\)|\{dot\})[ ]?[\w-]+|[ ](?:dot|punkt|point|punto|ponto)[ ][\w-]+)+", re.I)
 _SPELLED = re.compile(r"(?<![\w.+'-])([\w.+'-]+) at ([\w-]+(?: dot [\w-]+)+)", re.I)
-_DIGIT_RUN = re.compile(r"\d[\d ()./-]{5,24}\d[A-Z]?")
+_DIGIT_RUN = re.compile(r"\d[\d ()./-]{5,}\d[A-Z]?")
+#: What parts numbers that stand side by side, the widest first.
+_WIDE = re.compile(r" +[/-]+ +| {2,}"), re.compile(r"/"), re.compile(r" (?=\(?0)")
 _CODE_RUN = re.compile(r"[A-Z]{1,6}\d{2,9}[A-Z0-9]*")
 _CODE = re.compile(r"[A-Z]{2}\d{7}|[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]|[A-Z]{1,3}\d{6,9}[A-Z]?")
 _DATE = re.compile(r"(?:\d{4}[./-]\d{1,2}[./-]\d{1,2}|\d{1,2}[./-]\d{1,2}[./-](?:\d{4}|\d\d))(?:[ ]+\d{1,2})?")
@@ -110,20 +113,33 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _number_parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """A run of digits; one of more than 16 digits in parts, cut at the widest separators that it has."""
+    if sum(map(str.isdigit, text[a:b])) <= 16:
+        return [(a, b)]
+    for wide in _WIDE:
+        cuts = [m.span() for m in wide.finditer(text, a, b)]
+        if cuts:
+            return [x for p, q in zip([a, *(e for _, e in cuts)], [*(s for s, _ in cuts), b]) if (d := [i for i in range(p, q) if text[i].isalnum()]) for x in _number_parts(text, d[0], d[-1] + 1)]
+    return [(a, b)]
+
+
 def numbers(text: str) -> list[tuple[int, int]]:
-    """Number-like runs of 7 to 16 digits that are no dates, and codes of letters and digits."""
+    """Number-like runs of 7 to 16 digits that are no dates, and codes of letters and digits. Longer runs are several numbers
+    side by side, if they have a wide separator."""
     out = []
     for m in _DIGIT_RUN.finditer(text):
         a, b = m.span()
         if a and (text[a - 1].isalnum() or text[a - 1] in "@.,/-_") or b < len(text) and (text[b].isalnum() or text[b] in "@_"):
             continue
-        s = m[0]
-        n = sum(map(str.isdigit, s))
-        if n < 7 or n > 16 or _DATE.fullmatch(s):
-            continue
-        while a and text[a - 1] in "+(":
-            a -= 1
-        out.append((a, b))
+        for a, b in _number_parts(text, a, b):
+            s = text[a:b]
+            n = sum(map(str.isdigit, s))
+            if n < 7 or n > 16 or _DATE.fullmatch(s):
+                continue
+            while a and text[a - 1] in "+(":
+                a -= 1
+            out.append((a, b))
     for m in _CODE_RUN.finditer(text):
         a, b = m.span()
         if _CODE.fullmatch(m[0]) and not (a and (text[a - 1].isalnum() or text[a - 1] in "-_./@")) and not (b < len(text) and (text[b].isalnum() or text[b] in "-_@")):
@@ -307,6 +323,42 @@ def _name_features(text: str, a: int, b: int, words: list[str], places: list[tup
     return shape + context, label
 
 
+_Run = list[tuple[int, int, str]]
+
+
+def _trimmed(run: _Run, count) -> tuple[str, _Run]:
+    """The word before and the run without the words at its edges that are no part of a name ("Yesterday Luca", "Dear Ms Bob")."""
+    prev = ""
+    while run and not _may_name(v := run[0][2].lower()) and v not in ORGANISATION and len(v) > 1:
+        prev, run = v, run[1:]
+    while len(run) > 1 and not _may_name(v := run[-1][2].lower()) and v not in ORGANISATION:
+        run = run[:-1]
+    while len(run) > 1 and count(run[0][2]) == 0 and (v := run[0][2].lower()) not in ORGANISATION and len(v) > 1:
+        prev, run = v, run[1:]
+    return prev, run
+
+
+def _windows(run: _Run, text: str, known) -> list[_Run]:
+    """A run of four words at most as it is. A longer one is cut at commas, and where that leaves more than four words into the
+    stretches of known words, of four words at most each; no known word is left out."""
+    if len(run) <= 4:
+        return [run]
+    pieces = [run[:1]]
+    for before, word in zip(run, run[1:]):
+        if "," in text[before[1] : word[0]]:
+            pieces.append([])
+        pieces[-1].append(word)
+    out = []
+    for piece in pieces:
+        if len(piece) <= 4:
+            out.append(piece)
+            continue
+        for is_known, stretch in groupby(piece, lambda w: known(w[2])):
+            words = list(stretch)
+            out += [words[i : i + 4] for i in range(0, len(words), 4)] if is_known else []
+    return out
+
+
 def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
     """All spans that the generators propose; a number run is proposed as a phone and as a personal number."""
     out = []
@@ -347,18 +399,15 @@ def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
             hits.append(count(w) > 0)
         end = b
     places = locals_ = None
+    known = lambda w: len(w) == 1 or count(w) > 0
+    windows = []
     for run, hit in zip(runs, hits):
-        if not hit:
-            continue
-        prev = ""
-        while run and not _may_name(v := run[0][2].lower()) and v not in ORGANISATION and len(v) > 1:
-            prev, run = v, run[1:]
-        # words at the edges that never stand in a name are no part of it ("Yesterday Luca", "Dear Ms Bob")
-        while len(run) > 1 and not _may_name(v := run[-1][2].lower()) and v not in ORGANISATION:
-            run = run[:-1]
-        while len(run) > 1 and count(run[0][2]) == 0 and (v := run[0][2].lower()) not in ORGANISATION and len(v) > 1:
-            prev, run = v, run[1:]
-        run = run[:4]
+        if hit:
+            prev, run = _trimmed(run, count)
+            windows += [(prev if w[:1] == run[:1] else "", w) for w in _windows(run, text, known)]
+    for first, run in windows:
+        prev, run = _trimmed(run, count)
+        prev = prev or first
         if not run or all(len(w) == 1 or count(w) == 0 for _, _, w in run):
             continue
         words = [w for _, _, w in run]
