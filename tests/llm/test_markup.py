@@ -52,3 +52,13 @@ def test_wrapper_decides_the_ambiguous():
 )
 def test_clean(text, want):
     assert markup.clean(text) == want
+
+
+def test_cleaning_follows_the_wrapper(spark):
+    rows = [(k, "h2. S\n# one\n{quote}", "w") for k in range(1, 9)] + [(9, "# one\n{quote}", "w"), (10, "# one\n{quote}", "x"), (11, None, "w"), (12, "plain", None), (12, "plain", None)]
+    df = spark.createDataFrame(rows, "id long, text string, host string")
+    kinds = {(r.id, r.markup_kind) for r in markup.find_markup(df, "id", "text", "host").collect()}
+    assert (9, "wiki") in kinds and (10, "wiki") not in kinds
+    got = sorted((r.id, r.clean_text) for r in markup.clean_text(df, "id", "text", "host").collect())
+    assert got[8:] == [(9, "# one"), (10, "# one\n{quote}"), (11, None), (12, "plain"), (12, "plain")]
+    assert {s for _, s in got[:8]} == {"## S\n# one"}

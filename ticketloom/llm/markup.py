@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from html.entities import name2codepoint
 
@@ -325,12 +325,11 @@ def _command(text: str) -> str:
     return text
 
 
-def clean(text: str | None) -> str | None:
-    """`text` without markup; headings come as # lines, lists as - lines, tables as | rows, code fenced, formulas as $."""
+def clean(text: str | None, kinds: Iterable[str] | None = None) -> str | None:
+    """`text` without markup of the given kinds, by default those of its own stream; headings come as # lines, lists as - lines, tables as | rows, code fenced, formulas as $."""
     if not text:
         return text
-    found = tokens(text)
-    kinds = set(kinds_of(" ".join(stream(text)), ""))
+    kinds = set(kinds_of(" ".join(stream(text)), "") if kinds is None else kinds)
     if not kinds:
         return text
     kept: list[str] = []
@@ -340,7 +339,6 @@ def clean(text: str | None) -> str | None:
         return f"\x00{len(kept) - 1}\x01"
 
     body = "\n" + text.replace("\r\n", "\n").replace("\x00", "").replace("\x01", "")
-    del found
     if "html" in kinds and "&lt;" in body and re.search(rf"&lt;/?(?:{_NAMES})\b", body):
         body = re.sub(rf"&lt;(/?(?:{_NAMES})\b[^<>&]*?)&gt;", r"<\1>", body)
     # code and formulas first: they stay as they are
@@ -389,6 +387,28 @@ def clean(text: str | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def clean_text(texts: pd.Series) -> pd.Series:
-    """The column's texts without markup."""
-    return texts.map(clean, na_action="ignore")
+def _signature(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: " ".join(stream(t)) or None, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def _cleaned(texts: pd.Series, kinds: pd.Series) -> pd.Series:
+    return pd.Series([clean(t, k) for t, k in zip(texts, kinds)], dtype=object)
+
+
+def clean_text(rows: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """The rows with `clean_text`, the text without the notations that `find_markup` sees in it, by the wrappers of its host."""
+    from ticketloom.session import written
+
+    host = F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host")
+    kept = F.struct(*[c for c in rows.columns]).alias("row")
+    signed = written(rows.select(kept, host, _signature(text_col).alias("signature")))
+    have = signed.where("signature is not null")
+    table = infer_wrappers(have.select("host", "signature")).select("host", "signature", "kinds")
+    # Salted as in find_markup; rows without a token take no part.
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    left = have.withColumn("salt", F.pmod(F.xxhash64(f"row.{id_col}"), F.lit(SALTS)).cast("long"))
+    known = left.join(table.withColumn("salt", salts), ["host", "signature", "salt"], "left")
+    done = known.select("row", _cleaned(f"row.{text_col}", F.coalesce("kinds", F.array().cast("array<string>"))).alias("clean_text"))
+    plain = signed.where("signature is null").select("row", F.col(f"row.{text_col}").alias("clean_text"))
+    return done.unionByName(plain).select("row.*", "clean_text")

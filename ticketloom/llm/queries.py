@@ -96,8 +96,8 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p7_clean(spark: SparkSession, root: str) -> DataFrame:
     """Every description without markup."""
-    rows = read(spark, root, "tickets").select("issue_id", "exported_at", "description")
-    return rows.select("issue_id", "exported_at", markup.clean_text("description").alias("clean_text"))
+    rows = read(spark, root, "tickets").select("issue_id", "exported_at", "description", "creator")
+    return markup.clean_text(rows, "issue_id", "description", "creator").select("issue_id", "exported_at", "clean_text")
 
 
 def p7_wrappers(spark: SparkSession, root: str) -> DataFrame:
