@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "ticketloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,9 +29,11 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Unset, a local master gets a temporary folder, a cluster an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="ticketloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -50,6 +53,18 @@ def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def least_hashed(rows: DataFrame, key: Column, n: int) -> DataFrame:
+    """(h, *columns): of the distinct keys the `n` of least hash, each with the first of its rows in order.
+
+    A cut-off of the hash, from the number of distinct keys, filters before anything is sorted: a small multiple of `n` rows
+    leaves the scan, however many there are, and copies of a key meet in partial aggregates."""
+    hashed = rows.withColumn("h", F.pmod(F.xxhash64(key), F.lit(1 << 40)))
+    distinct = hashed.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    cut = min(1 << 40, int((1.3 * n + 100) / max(distinct, 1) * (1 << 40)))
+    kept = hashed.where(F.col("h") < cut).groupBy("h").agg(F.min(F.struct(*rows.columns)).alias("row"))
+    return kept.orderBy("h").limit(n).select("h", "row.*")
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark._jvm
