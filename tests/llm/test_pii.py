@@ -58,7 +58,7 @@ def test_boosting_learns():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((3000, 4))
     y = ((x[:, 0] > 0.3) & (x[:, 1] < 0.5)).astype(int)
-    model = Boosted().fit(x[:2000], y[:2000])
+    model = Boosted().fit(x[:2000], y[:2000], np.arange(2000) % 5 == 0)
     assert ((model.predict(x[2000:]) >= model.threshold) == y[2000:]).mean() > 0.97
 
 
@@ -96,3 +96,14 @@ def test_third_name_and_second_phone_are_redacted(spark, detector):
     text = "Please call 02 555 12 34 / 0478 12 34 56 today."
     assert [text[a:b] for a, b in pii.numbers(text)] == ["02 555 12 34", "0478 12 34 56"]
     assert pii.numbers("The key 12345678901234567890 is no number.") == []
+
+
+def test_streets_of_two_words(detector):
+    for text, street in (("Lena Bos\nOude Kade 32 bus 3, 6353 AB Tarvone", "Oude Kade 32"), ("Alter Weg 7a, 12345 Ostrelle", "Alter Weg 7a"), ("Molenstraat 68, 6323 AB Kestrova", "Molenstraat 68")):
+        assert any(k == "address" and text[a:b] == street for a, b, k, _ in detector.spans([text])[0]), text
+
+
+def test_the_threshold_comes_from_held_out_rows():
+    p, y = np.array([0.9, 0.8, 0.7, 0.3, 0.2, 0.1]), np.array([1, 1, 1, 0, 1, 0])
+    assert Boosted._calibrated(p, y, 0.97) == 0.5 and Boosted._calibrated(p, y, 0.75) == pytest.approx(0.15)
+    assert Boosted._calibrated(p, 1 - y, 0.97) == 1.0 and Boosted._calibrated(p[:0], y[:0], 0.97) == 0.5

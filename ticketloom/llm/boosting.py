@@ -9,18 +9,16 @@ class Boosted:
     """Logistic boosting of trees of fixed depth on features cut into bins. Trees are complete: a node without a gain
     splits nothing off. A threshold is calibrated on held-out rows."""
 
-    def __init__(self, trees: int = 40, depth: int = 3, rate: float = 0.25, bins: int = 24, seed: int = 3):
-        self.trees, self.depth, self.rate, self.bins, self.seed = trees, depth, rate, bins, seed
+    def __init__(self, trees: int = 40, depth: int = 3, rate: float = 0.25, bins: int = 24):
+        self.trees, self.depth, self.rate, self.bins = trees, depth, rate, bins
         self.base, self.cuts, self.nodes, self.leaves, self.threshold = 0.0, [], [], [], 0.5
 
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(self.cuts)], 1).astype(np.int16)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, precision: float = 0.97) -> Boosted:
-        """Every fifth row is held out for the threshold: the lowest at which `precision` is met."""
-        rng = np.random.default_rng(self.seed)
-        order = rng.permutation(len(x))
-        held, used = order[: len(x) // 5], order[len(x) // 5 :]
+    def fit(self, x: np.ndarray, y: np.ndarray, held: np.ndarray, precision: float = 0.97) -> Boosted:
+        """The held rows give the threshold: that of the lowest scored positive row down to which `precision` is met."""
+        used = ~held
         xs, ys = x[used], y[used].astype(float)
         self.cuts = [np.unique(np.quantile(xs[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
         b = self._binned(xs)
@@ -65,9 +63,13 @@ class Boosted:
             return 0.5
         order = np.argsort(-p, kind="stable")
         hit = np.cumsum(y[order]) / np.arange(1, len(p) + 1)
-        good = np.flatnonzero(hit >= precision)
-        # between the last kept score and the next, never far from plain odds
-        return float(np.clip(p[order][good[-1]] - 1e-9, 0.5, 0.8)) if len(good) else 0.8
+        good = np.flatnonzero((hit >= precision) & (y[order] == 1))
+        if not len(good):
+            return 1.0
+        # between the lowest score kept and the next one
+        scores = p[order]
+        after = scores[good[-1] + 1] if good[-1] + 1 < len(p) else 0.0
+        return float((scores[good[-1]] + after) / 2)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         if not len(x):

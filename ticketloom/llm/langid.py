@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticketloom.session import least_hashed
+
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pl", "pt")
 WINDOW, STRIDE = 72, 54
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4, 5), 20, 10
@@ -259,9 +261,10 @@ def train(texts: list[str], labels: list[str], doubtful: tuple[list[str], list[s
 
 
 def _sample(rows: DataFrame, id_col: str, text_col: str, lang: F.Column, n: int) -> tuple[list[str], list[str]]:
-    """Texts and labels of the `n` labelled rows of least hash; rows and characters are bounded."""
+    """Texts and labels of the `n` labelled ids of least hash; rows and characters are bounded."""
     usable = lang.isin(*LANGUAGES) & (F.length(text_col) <= MAX_CHARS)
-    got = rows.where(usable).select(F.col(text_col).alias("t"), lang.alias("l"), F.xxhash64(id_col).alias("h")).orderBy("h", "t").limit(n).toPandas()
+    labelled = rows.where(usable).select(F.col(text_col).alias("t"), lang.alias("l"), F.col(id_col).alias("i"))
+    got = least_hashed(labelled, F.col("i"), n).select("h", "t", "l").toPandas().sort_values("h")
     return list(got.t), list(got.l)
 
 

@@ -2,7 +2,8 @@
 
 Method: candidate gradient boosting. Generators with high recall propose spans (addresses of mail, number-like runs, streets with
 numbers, runs of capitalised words); boosted trees score each by features of its format and context; a threshold calibrated
-on held-out candidates selects the redactions; of overlapping spans the better scored one stays.
+on the candidates of held-out texts selects the redactions; of overlapping spans the type that can contain the other stays
+(an email address its name), then the better scored one.
 
 Labels come from the texts themselves: a candidate whose context says what it is (a field of a mail header, a greeting, the line
 under a closing formula, a keyword before a number) is a labelled example, and half of the examples lose these context features in
@@ -34,6 +35,7 @@ from pyspark.sql.types import StringType
 from ticketloom.llm.boosting import Boosted
 from ticketloom.llm.mail import closes
 from ticketloom.llm.quality import COMMON
+from ticketloom.session import least_hashed
 
 COMMON_WORDS = frozenset(COMMON)
 
@@ -379,7 +381,8 @@ def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
         if not _GROUP.search(text, p, q):
             continue
         for m in _STREETS.finditer(text, p, min(len(text), q)):
-            out.append(Candidate(m.start(), m.end(), "address", _address_features(text, m), -1))
+            f = _address_features(text, m)
+            out.append(Candidate(m.start(), m.end(), "address", f, address_label(f)))
             done = m.end()
     count = lexicon.count
     runs: list[list[tuple[int, int, str]]] = []
@@ -445,7 +448,7 @@ _SMALL = r"(?:de|des|du|la|le|les|l|d|del|dei|della|delle|degli|di|do|da|dos|das
 _STREETS = re.compile(
     rf"(?P<before>(?:(?:Unit|Flat|Apt\.?|Suite)[ \t]+\d{{1,4}}[a-z]?,\s+)?(?<![\w/.,-]){_NUMBER},?\s+(?:(?P<w1>(?:[\w'’]+\.?\s+){{0,3}}?)(?P<s1>(?i:{STREET}))(?![\w])(?P<rest>\s+(?:{_SMALL}\s*)+{_CAP}(?:[ ]{_CAP})*|(?=\b))))"
     rf"|(?P<after>(?<!\w)(?P<s2>(?i:{STREET}))\s+(?P<w2>(?:[\w'’-]+\s+){{0,4}}?[\w'’-]+),?\s+{_NUMBER}(?![\w./-]))"
-    rf"|(?P<joined>\b[A-ZÀ-Þ][\w-]*(?:{STREET_END})\s+{_NUMBER}(?![\w./-]))"
+    rf"|(?P<joined>(?:\b[A-ZÀ-Þ][\w-]*(?:{STREET_END})|\b{_CAP}[ ]+(?i:{STREET_END}))\s+{_NUMBER}(?![\w./-]))"
     rf"|(?P<unit>\b(?:Unit|Flat|Apt\.?|Suite)[ \t]+\d{{1,4}}[a-z]?,\s+(?P<w3>(?:{_CAP}\s+){{1,3}}?)(?P<s3>(?i:{STREET}))(?![\w]))"
 )
 
@@ -491,24 +494,24 @@ class Detector:
 
     def fit(self, texts: list[str], seed: int = 5) -> Detector:
         rng = np.random.default_rng(seed)
-        found: dict[str, list[tuple[list[float], int]]] = {t: [] for t in TYPES}
-        for t in texts:
+        found: dict[str, list[tuple[list[float], int, bool]]] = {t: [] for t in TYPES}
+        for k, t in enumerate(texts):
             for c in candidates(t, self.lexicon):
-                label = address_label(c.features) if c.kind == "address" else c.label
-                if label >= 0:
-                    found[c.kind].append((c.features, label))
+                if c.label >= 0:
+                    found[c.kind].append((c.features, c.label, k % 5 == 0))
         for kind, rows in found.items():
-            y = np.array([b for _, b in rows], int)
+            y = np.array([b for _, b, _ in rows], int)
             if kind == "email" or not len(y) or y.min() == y.max():
                 continue  # one class only: the generator decides
-            x = np.array([a for a, _ in rows], float)
+            x = np.array([a for a, _, _ in rows], float)
+            held = np.array([h for _, _, h in rows], bool)  # every fifth text with all its candidates
             cut = {"phone": _CONTEXT_NUMBER, "id_number": _CONTEXT_NUMBER, "name": _CONTEXT_NAME}.get(kind, 0)
             if cut:  # half of the examples lose what labelled them
                 lost = x.copy()
                 lost[:, -cut:] = 0
                 drop = rng.random(len(x)) < 0.5
-                x, y = np.concatenate([x, lost[drop]]), np.concatenate([y, y[drop]])
-            self.models[kind] = Boosted().fit(x, y)
+                x, y, held = np.concatenate([x, lost[drop]]), np.concatenate([y, y[drop]]), np.concatenate([held, held[drop]])
+            self.models[kind] = Boosted().fit(x, y, held)
         return self
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
@@ -524,7 +527,8 @@ class Detector:
                 continue
             model = self.models.get(kind)
             if model is None:
-                p = np.array([1.0 if kind == "email" or c.label == 1 else 0.0 for _, c in rows])
+                # nothing in the sample denies a candidate of this type: what the generator proposes counts unless its own label denies it
+                p = np.array([float(kind == "email" or c.label == 1 or kind == "address" and c.label < 0) for _, c in rows])
                 limit = 0.5
             else:
                 p, limit = model.predict(np.array([c.features for _, c in rows], float)), model.threshold
@@ -548,10 +552,10 @@ def fit(rows: DataFrame, id_col: str, columns: list[str], sample: int = SAMPLE)
     lexicon = Lexicon.of(rows, columns)
     texts = None
     for c in columns:
-        part = rows.select(F.col(c).alias("t"), F.xxhash64(id_col, F.lit(c)).alias("h")).where(F.length("t").between(1, MAX_CHARS))
+        part = rows.select(F.col(c).alias("t")).where(F.length("t").between(1, MAX_CHARS))
         texts = part if texts is None else texts.unionByName(part)
-    got = texts.orderBy("h", "t").limit(sample).toPandas()
-    return Detector(lexicon).fit(list(dict.fromkeys(got.t)))
+    got = least_hashed(texts, F.col("t"), sample).toPandas().sort_values("h")
+    return Detector(lexicon).fit(list(got.t))
 
 
 def find_pii(rows: DataFrame, detector: Detector, id_col: str, columns: list[str]) -> DataFrame:
