@@ -62,3 +62,32 @@ def test_cleaning_follows_the_wrapper(spark):
     got = sorted((r.id, r.clean_text) for r in markup.clean_text(df, "id", "text", "host").collect())
     assert got[8:] == [(9, "# one"), (10, "# one\n{quote}"), (11, None), (12, "plain"), (12, "plain")]
     assert {s for _, s in got[:8]} == {"## S\n# one"}
+
+
+def test_long_pieces_are_markup_like_short_ones():
+    """Ten times the former bounds of a token's length, and LaTeX commands nested deeper than six."""
+    long = "word " * 1300 + "end"
+    cases = [
+        (f"**{long}**", "markdown"),
+        (f"[{long}](https://a.example)", "markdown"),
+        (f"`{long}`", "markdown"),
+        (f"'''{long}'''", "wiki"),
+        ("{{" + long + "}}", "wiki"),
+        (f"${long} \\alpha$", "latex"),
+        (f"\\[{long}\\]", "latex"),
+    ]
+    for text, kind in cases:
+        assert markup.kinds_of(" ".join(markup.stream(f"See {text} here")), "") == [kind], text[:20]
+    nested = "deep"
+    for _ in range(60):
+        nested = f"\\textbf{{{nested}}}"
+    assert markup.clean(f"It is {nested} now") == "It is deep now"
+
+
+def test_a_host_of_many_streams(spark, monkeypatch):
+    """Each stream of a host gets one wrapper, also where its streams are merged in parts."""
+    monkeypatch.setattr(markup, "PART_STREAMS", 5)
+    texts = ["**a** " * (k % 4 + 1) + "x " + "`b` " * (k % 7) + "y " + "[c](https://a.example) z " * (k % 3) for k in range(60)]
+    signed = markup.signatures(spark.createDataFrame([(k, "h", t) for k, t in enumerate(texts)], "id long, host string, text string"), "id", "text", "host")
+    got = markup.infer_wrappers(signed).toPandas()
+    assert sorted(got.signature) == sorted({" ".join(markup.stream(t)) for t in texts}) and got.wrapper.nunique() < len(got)

@@ -5,7 +5,7 @@ repeats in a stream are folded into groups (...)+. The streams of one host (who
 aligned one after the other: where two streams differ, the missing part becomes optional, and texts become a slot. The
 expressions so made are the host's wrappers. A wrapper decides tokens that are ambiguous alone, such as a line
 starting with one `#`, by the unambiguous tokens it stands with. Distinct streams are counted before they meet in a
-task, and a host's streams are merged in `SALTS` parts first, so a host with a third of all rows does not fill one task.
+task, and a host's streams are merged in parts, so a host with a third of all rows does not fill one task.
 
 Text in a code block of one notation is no evidence of another. Null, empty and plain texts have no notation and come
 out unchanged (null stays null). Texts of any length are read whole; a text's stream is folded, so its length is that of
@@ -27,9 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ticketloom.functions.html import to_markdown
+from ticketloom.session import written
 
 KINDS = ("html", "markdown", "wiki", "latex")
 SALTS = 16
+#: Streams or wrappers of one host that are aligned in one task.
+PART_STREAMS = 400
 #: Two streams share a wrapper when so much of the longer one aligns.
 ALIKE = 0.6
 
@@ -70,29 +73,29 @@ _PATTERNS = {
         ("html_tag", rf"</?(?:{_NAMES})(?:\s[^<>]*)?/?>"),
     ],
     "&": [("html_entity", rf"&(?:#\d{{2,6}}|#[xX][0-9a-fA-F]{{2,5}}|{_ENTITY});")],
-    "`": [("markdown_code", r"`{1,2}(?!`)[^`\n]{1,400}`{1,2}")],
+    "`": [("markdown_code", r"`{1,2}(?!`)[^`\n]+`{1,2}")],
     "{": [
         ("wiki_block", r"\{(code|noformat)(?::[^{}\n]*)?\}.*?\{\1\}"),
-        ("wiki_mono", r"\{\{(?!\{)[^{}\n]{1,200}\}\}"),
-        ("wiki_macro", rf"\{{(?:{_MACRO}):[^{{}}\n]{{1,200}}\}}|\{{[*_+?^~-]\}}"),
+        ("wiki_mono", r"\{\{(?!\{)[^{}\n]+\}\}"),
+        ("wiki_macro", rf"\{{(?:{_MACRO}):[^{{}}\n]+\}}|\{{[*_+?^~-]\}}"),
         ("any_macro", rf"\{{(?:{_MACRO})\}}"),
     ],
     "!": [
-        ("markdown_image", r"!\[[^\[\]\n]{0,300}\]\([^()\s]+(?:[ \t]\"[^\"\n]*\")?\)"),
-        ("wiki_image", r"![^\s!|\n][^!|\n]{0,120}(?:\.(?:png|jpe?g|gif|bmp|svg|webp)(?:\|[^!\n]{0,80})?|\|thumbnail)!"),
+        ("markdown_image", r"!\[[^\[\]\n]*\]\([^()\s]+(?:[ \t]\"[^\"\n]*\")?\)"),
+        ("wiki_image", r"![^\s!|\n][^!|\n]*(?:\.(?:png|jpe?g|gif|bmp|svg|webp)(?:\|[^!\n]*)?|\|thumbnail)!"),
     ],
     "[": [
-        ("markdown_link", r"\[[^\[\]\n]{1,300}\]\((?:https?:|ftp:|mailto:|www\.|/|\.|#|[\w%-]+(?:[./#][\w%./#-]*)?)[^()\s]*(?:[ \t]\"[^\"\n]*\")?\)"),
-        ("wiki_link", r"\[\[[^\[\]\n]{1,200}\]\]|\[(?!\[)[^\[\]|\n]{1,200}\|(?:https?://|mailto:|ftp://|#|\^|/)[^\[\]\n]{0,400}\]|\[[\^~][\w.@-]+\]"),
+        ("markdown_link", r"\[[^\[\]\n]+\]\((?:https?:|ftp:|mailto:|www\.|/|\.|#|[\w%-]+(?:[./#][\w%./#-]*)?)[^()\s]*(?:[ \t]\"[^\"\n]*\")?\)"),
+        ("wiki_link", r"\[\[[^\[\]\n]+\]\]|\[(?!\[)[^\[\]|\n]+\|(?:https?://|mailto:|ftp://|#|\^|/)[^\[\]\n]*\]|\[[\^~][\w.@-]+\]"),
     ],
-    "*": [("markdown_bold", r"\*\*(?=[^\s*])[^*\n]{1,400}(?<=[^\s*])\*\*")],
-    "_": [("markdown_bold", r"(?<!\w)__(?=[^\W_])[^_\n]{1,300}(?<=[^\W_])__(?!\w)")],
-    "~": [("markdown_strike", r"~~(?=[^\s~])[^~\n]{1,300}(?<=\S)~~")],
-    "'": [("wiki_bold", r"'''(?=[^\s'])[^\n]{1,600}?(?<=[^\s])'''|''(?=[^\s'])[^'\n]{1,300}(?<=[^\s'])''")],
-    "$": [("latex_math", r"\$\$[^$]{1,600}\$\$|\$(?=[^\s$])(?=[^$\n]*(?:\\[a-zA-Z]+|[_^][{\w]))[^$\n]{1,300}\$(?!\d)")],
+    "*": [("markdown_bold", r"\*\*(?=[^\s*])[^*\n]+(?<=[^\s*])\*\*")],
+    "_": [("markdown_bold", r"(?<!\w)__(?=[^\W_])[^_\n]+(?<=[^\W_])__(?!\w)")],
+    "~": [("markdown_strike", r"~~(?=[^\s~])[^~\n]+(?<=\S)~~")],
+    "'": [("wiki_bold", r"'''(?=[^\s'])[^\n]+?(?<=[^\s])'''|''(?=[^\s'])[^'\n]+(?<=[^\s'])''")],
+    "$": [("latex_math", r"\$\$[^$]+\$\$|\$(?=[^\s$])(?=[^$\n]*(?:\\[a-zA-Z]+|[_^][{\w]))[^$\n]+\$(?!\d)")],
     "\\": [
         ("latex_block", r"\\begin\{(verbatim|lstlisting|minted)\}.*?\\end\{\1\}"),
-        ("latex_math", r"\\\([^\n]{1,300}?\\\)|\\\[.{1,600}?\\\]"),
+        ("latex_math", r"\\\((?:(?!\\\()[^\n])+?\\\)|\\\[(?:(?!\\\[).)+?\\\]"),
         ("latex_env", r"\\(?:begin|end)\{[a-zA-Z]+\*?\}"),
         ("latex_command", r"\\[a-zA-Z]{2,}\*?(?:\[[^\[\]\n]*\])?\{"),
         ("latex_sign", rf"(?<![\w\\:])\\(?:{'|'.join(SIGNS.split())})\b(?![\\/])"),
@@ -234,24 +237,35 @@ def signatures(rows: DataFrame, id_col: str, text_col: str, host_col: str) -> Da
 
 
 def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Merges the streams of each (host, part); rows come sorted by both, so one part's streams are held at a time."""
-    columns = ["host", "part", "wrapper", "streams", "n"]
+    """(host, expr, wrapper, n): each expression with the wrapper that covers it. Rows come sorted by (host, part), so the
+    `PART_STREAMS` or so expressions of one part are held at a time."""
+    columns = ["host", "expr", "wrapper", "n"]
     key, held = None, []
 
     def flush() -> list[tuple]:
-        return [(*key, " ".join(w), s, n) for w, s, n in wrappers(held)] if key is not None else []
+        return [(key[0], e, " ".join(w), n) for w, covered, n in wrappers(held) for e in covered] if key is not None else []
 
     for pdf in batches:
         out = []
-        for host, part, w, s, n in zip(*[pdf[c] for c in columns]):
+        for host, part, expr, n in zip(pdf["host"], pdf["part"], pdf["expr"], pdf["n"]):
             if (host, part) != key:
                 out += flush()
                 key, held = (host, part), []
-            held.append((_parts(w), list(s), int(n)))
+            held.append((_parts(expr), [expr], int(n)))
         yield pd.DataFrame(out, columns=columns)
     yield pd.DataFrame(flush(), columns=columns)
 
 
+def _merge_parts(expressions: DataFrame) -> DataFrame:
+    """(host, expr, wrapper, n) of (host, expr, n). A host's expressions are merged in as many parts, by hash, as keep each at
+    about `PART_STREAMS`; the number of tasks is fixed, since little data here is much work."""
+    sizes = expressions.groupBy("host").agg(F.ceil(F.count("*") / PART_STREAMS).alias("parts"))
+    parted = expressions.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("expr"), F.col("parts")))
+    tasks = int(expressions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = parted.select("host", "part", "expr", "n").repartition(tasks, "host", "part").sortWithinPartitions("host", "part", "expr")
+    return sorted_.mapInPandas(_merged, "host string, expr string, wrapper string, n long")
+
+
 def _parts(expr: str) -> list[str]:
     """An expression's parts at its outermost level."""
     out, depth, part = [], 0, ""
@@ -268,15 +282,13 @@ def _parts(expr: str) -> list[str]:
 def infer_wrappers(signed: DataFrame) -> DataFrame:
     """(host, signature, wrapper, kinds): each distinct stream of a host with the wrapper that covers it.
 
-    Streams are counted first; `SALTS` parts of a host are merged, then their wrappers."""
-    schema = "host string, part long, wrapper string, streams array<string>, n long"
-    counted = signed.groupBy("host", "signature").agg(F.count("*").alias("n"))
-    part = F.pmod(F.xxhash64("signature"), F.lit(SALTS)).cast("long").alias("part")
-    start = counted.select("host", part, F.col("signature").alias("wrapper"), F.array("signature").alias("streams"), "n")
-    first = start.repartition("host", "part").sortWithinPartitions("host", "part").mapInPandas(_merged, schema)
-    again = first.withColumn("part", F.lit(0).cast("long")).repartition("host").sortWithinPartitions("host")
-    done = again.mapInPandas(_merged, schema)
-    flat = done.select("host", "wrapper", F.explode("streams").alias("signature"))
+    Streams are counted first; parts of a host's streams are merged, then the wrappers so made, which again meet in parts where
+    a host has more than `PART_STREAMS`. Wrappers carry no list of their streams; those follow by a join."""
+    counted = signed.groupBy("host", F.col("signature").alias("expr")).agg(F.count("*").alias("n"))
+    first = written(_merge_parts(counted))
+    again = _merge_parts(first.groupBy("host", F.col("wrapper").alias("expr")).agg(F.max("n").alias("n")))
+    last = again.select("host", F.col("expr").alias("inner"), "wrapper")
+    flat = first.select("host", F.col("expr").alias("signature"), F.col("wrapper").alias("inner")).join(last, ["host", "inner"]).drop("inner")
 
     @F.pandas_udf("array<string>")
     def kinds(signature: pd.Series, wrapper: pd.Series) -> pd.Series:
@@ -287,8 +299,6 @@ def infer_wrappers(signed: DataFrame) -> DataFrame:
 
 def find_markup(rows: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """(id, markup_kind): each notation a text holds, by the wrappers of its host."""
-    from ticketloom.session import written
-
     signed = written(signatures(rows, id_col, text_col, host_col))
     table = infer_wrappers(signed).select("host", "signature", F.explode("kinds").alias("markup_kind"))
     # Salted: the rows of one host and stream may be a third of all.
@@ -317,10 +327,7 @@ def _command(text: str) -> str:
             return f" ({inner})"
         return "" if name in ("label", "cite", "ref", "usepackage", "documentclass", "vspace", "hspace") else inner
 
-    for _ in range(6):
-        new = re.sub(r"\\([a-zA-Z]{2,})\*?(?:\[[^\[\]\n]*\])?\{([^{}]*)\}", one, text)
-        if new == text:
-            break
+    while (new := re.sub(r"\\([a-zA-Z]{2,})\*?(?:\[[^\[\]\n]*\])?\{([^{}]*)\}", one, text)) != text:  # each pass takes commands away
         text = new
     return text
 
@@ -349,7 +356,7 @@ def clean(text: str | None, kinds: Iterable[str] | None = None) -> str | None:
     if "latex" in kinds:
         body = re.sub(r"\\begin\{(equation|align|gather|displaymath|eqnarray|math)\*?\}(.*?)\\end\{\1\*?\}", lambda m: keep(f"\n$${m[2].strip()}$$\n"), body, flags=re.S)
         body = re.sub(r"\$\$([^$]+)\$\$|\\\[(.+?)\\\]", lambda m: keep(f"$${(m[1] or m[2]).strip()}$$"), body, flags=re.S)
-        body = re.sub(r"\$(?=[^\s$])(?=[^$\n]*(?:\\[a-zA-Z]+|[_^][{\w]))([^$\n]{1,300})\$(?!\d)|\\\(([^\n]+?)\\\)", lambda m: keep(f"${(m[1] or m[2]).strip()}$"), body)
+        body = re.sub(r"\$(?=[^\s$])(?=[^$\n]*(?:\\[a-zA-Z]+|[_^][{\w]))([^$\n]+)\$(?!\d)|\\\(([^\n]+?)\\\)", lambda m: keep(f"${(m[1] or m[2]).strip()}$"), body)
     if "markdown" in kinds:
         body = re.sub(r"(`{1,2})(?!`)([^`\n]+)\1", lambda m: keep(f"`{m[2]}`"), body)
         body = re.sub(r"\n([^\n]+)\n={3,}[ \t]*(?=\r|\n|_x000D_|\Z)", r"\n# \1", body)
@@ -398,8 +405,6 @@ def _cleaned(texts: pd.Series, kinds: pd.Series) -> pd.Series:
 
 def clean_text(rows: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """The rows with `clean_text`, the text without the notations that `find_markup` sees in it, by the wrappers of its host."""
-    from ticketloom.session import written
-
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host")
     kept = F.struct(*[c for c in rows.columns]).alias("row")
     signed = written(rows.select(kept, host, _signature(text_col).alias("signature")))
