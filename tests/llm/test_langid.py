@@ -72,3 +72,14 @@ def test_held_out_accuracy(spark):
     found = langid._of_batch(list(held.text), net)
     pairs = [(max(x, key=lambda s: s[2])[1], y) for x, y in zip(found, held.lang.str.lower()) if x]
     assert np.mean([a == b for a, b in pairs]) > 0.95
+
+
+def test_export_artefacts_are_no_words():
+    assert langid.segments("Kind regards, _x000D_\nMaria Haldois _x000D_\nContract manager _x000D_") == []
+    assert len(langid.segments("The export button of the form no longer reacts _x000D_\nafter the update of last week. _x000D_")) == 1
+
+
+def test_long_tags_and_quotations():
+    tag = '<span style="' + "color:red; " * 400 + '">'
+    assert langid.segments(tag + "we do not know if it went through</span>") == ["we do not know if it went through"]
+    assert langid.segments('He wrote "' + "a" * 500 + " " + "b" * 500 + '" to them') == []

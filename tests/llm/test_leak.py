@@ -62,3 +62,13 @@ def test_lemma_bound_holds():
     changed = codes.copy()
     changed[[10, 40]] = ord("z")
     assert index.bands(changed) and index.aligned(changed, 0, 0, len(codes), 0, 0)
+
+
+def test_long_tags_and_links_hide_nothing(spark):
+    """Markup of ten times the former bounds inside a passage doesn't part its words."""
+    words = "the award notice was published with the wrong closing date and must be corrected before friday".split()
+    tag = '<span style="' + "color:red; " * 400 + '">'
+    texts = [" ".join(words[:6]) + f" {tag}" + " ".join(words[6:]) + "</span>", " ".join(words[:6]) + f" [{' '.join(words[6:])}](https://{'a' * 4000}.example)"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, item_text string")
+    assert {r.doc_id for r in leak.find_leaks(docs, items).collect()} == {0, 1}

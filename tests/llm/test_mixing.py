@@ -39,3 +39,13 @@ def test_edges(spark):
 def test_long_texts_are_counted_whole(text):
     encode = mixing._encoding(mixing.TOKENIZER).encode_ordinary
     assert "".join(mixing._pieces(text)) == text and sum(len(encode(p)) for p in mixing._pieces(text)) > 0
+
+
+def test_pieces_do_not_change_the_count(monkeypatch):
+    """Cut before single spaces, also where a word is longer than a piece."""
+    text = "one two  three " * 50 + "x" * 5000 + " four five\n\n six " * 30
+    whole = len(mixing._encoding(mixing.TOKENIZER).encode_ordinary(text))
+    monkeypatch.setattr(mixing, "PIECE", 40)
+    parts = list(mixing._pieces(text))
+    assert "".join(parts) == text and len(parts) > 10
+    assert sum(len(mixing._encoding(mixing.TOKENIZER).encode_ordinary(p)) for p in parts) == whole

@@ -48,8 +48,8 @@ NAMES = {
 }
 
 _CODE = re.compile(r"\{(code|noformat)(?::[^}\n]*)?\}.*?\{\1\}|```.*?(?:```|\Z)|<(pre|code|script|style)\b.*?</\2\s*>|`[^`\n]*`|\\begin\{(equation\*?|verbatim|lstlisting|align\*?)\}.*?\\end\{\3\}|\$\$.*?\$\$", re.S | re.I)
-_MARK = re.compile(r"</?[A-Za-z!][^<>]{0,300}>|\{[a-zA-Z]+(?::[^{}\n]*)?\}|\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?|&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);|\]\([^()\s]*\)|https?://\S+|www\.\S+")
-_QUOTED = re.compile(r"\"[^\"\n]{1,70}\"|«[^»\n]{1,70}»|„[^“”\"\n]{1,70}[“”\"]|“[^”\n]{1,70}”")
+_MARK = re.compile(r"<[A-Za-z][\w:-]*(?:\s+[\w:@.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))+\s*/?>|</?[A-Za-z!][^<>]{0,300}>|\{[a-zA-Z]+(?::[^{}\n]*)?\}|\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?|&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);|\]\([^()\s]*\)|https?://\S+|www\.\S+")
+_QUOTED = re.compile(r"\"[^\"\n]+\"|«[^»\n]+»|„[^“”\"\n]+[“”\"]|“[^”\n]+”")
 _END = re.compile(r"[.!?…][\"'”’»)\]*_]*\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
@@ -83,6 +83,7 @@ def _sentences(line: str) -> Iterator[str]:
 
 def segments(text: str) -> list[str]:
     """The sentences of `MIN_WORDS` or more words, without code, markup, addresses and short quotations."""
+    text = text.replace("_x000D_", "")  # what exports leave of carriage returns would count as words
     if "{" in text or "`" in text or "<" in text or "\\" in text or "$$" in text:
         text = _CODE.sub("\n", text)
         text = _MARK.sub(" ", text)

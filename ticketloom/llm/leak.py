@@ -36,8 +36,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\ufff9-\ufffb]")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|<!--.*?-->", re.S)
-_LINK = re.compile(r"!?\[([^\[\]\n]{0,500})\]\((?:[^()\s]|\([^()\s]*\))*(?:\s+\"[^\"]*\")?\)|\[([^\[\]|\n]{1,300})\|(?:https?|mailto|ftp):[^\]\s]*\]|\{color(?::[^}]{1,40})?\}|\\(?:textbf|textit|emph|text|underline)\{")
+#: A tag of any length if it is made of attributes with values; else one of 300 characters, since prose may stand between < and >.
+_TAG = re.compile(r"<[A-Za-z][\w:-]*(?:\s+[\w:@.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))+\s*/?>|</?[A-Za-z][^<>]{0,300}>|<!--.*?-->", re.S)
+_LINK = re.compile(r"!?\[([^\[\]\n]*)\]\((?:[^()\s]|\([^()\s]*\))*(?:\s+\"[^\"]*\")?\)|\[([^\[\]|\n]+)\|(?:https?|mailto|ftp):[^\]\s]*\]|\{color(?::[^{}\n]+)?\}|\\(?:textbf|textit|emph|text|underline)\{")
 _WORD = re.compile(r"[^\W_]+")
 
 

@@ -184,7 +184,7 @@ def name_places(text: str) -> list[tuple[int, int]]:
                 continue
         word = s.split(None, 1)[0].strip(",.!:;").lower()
         if word in GREETINGS or word in TITLES:
-            if (m := _GREETED.match(s)) and m.end() < 60:
+            if m := _GREETED.match(s):
                 out.append((start, start + m.end()))
         elif word in _HEADER_WORDS and ":" in s[:16] and (m := _HEADER_NAME.match(s)):
             out.append((start + m.start(1), start + m.end(1)))
