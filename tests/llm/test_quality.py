@@ -79,9 +79,65 @@ def test_copies_do_not_vouch_for_their_own_pairs(spark):
     assert got == junk | set(range(9000, 9000 + 4 * len(copied)))
 
 
-def test_collision_load_is_taken_off(spark):
-    h = quality._Hash()(["alpha", "beta"])
-    slot = int(quality._pairs(h)[0])
-    rows = [("p", slot, 8), ("w", 0, 1000)]
-    pairs = lambda load: quality.Pairs(quality.pd.DataFrame([*rows, ("load", 0, load << quality.PAIR_BITS)], columns=["kind", "slot", "n"]))
-    assert pairs(0).known(h).all() and not pairs(6).known(h).any()
+def batch(texts):
+    """The analysed texts as the second pass reads them."""
+    parts = [quality.segment_votes(quality.segments(t)) for t in texts]
+    return quality._Batch(quality.pd.DataFrame({"words": [p[0].tobytes() for p in parts], "segments": [np.stack(p[1:]).tobytes() for p in parts]}))
+
+
+def test_collision_load_is_taken_off():
+    b = batch(["alpha beta"])
+    slot = int(b.pairs(quality.PAIR_BITS)[0])
+    rows = quality.pd.DataFrame([(0, slot, 8)], columns=["kind", "slot", "n"])
+    pairs = lambda load: quality.Pairs(rows, quality.PAIR_BITS, load << quality.PAIR_BITS)
+    assert pairs(0).known(b).all() and not pairs(6).known(b).any()
+
+
+def test_pairs_and_words_are_counted_once_a_text(monkeypatch):
+    monkeypatch.setattr(quality, "WORD_BITS", 20)
+    b = batch(["one two one two one two", "one two\nthree"])
+    got = quality.pd.concat(quality._count(quality.PAIR_BITS)(iter([quality.pd.DataFrame({"words": [b.words[:6].tobytes(), b.words[6:].tobytes()], "segments": [np.stack([b.k[:1], b.code[:1], b.n[:1]]).tobytes(), np.stack([b.k[1:], b.code[1:], b.n[1:]]).tobytes()]})])))
+    assert sorted(got[got.kind == 0].n) == [1, 2]  # "two one" in one text, "one two" in two; no pair crosses a line
+    assert sorted(got[got.kind == 1].n) == [1, 2] and sorted(got[got.kind == 2].n) == [1, 2]
+
+
+def test_the_sketch_grows_with_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PAIR_BITS", 4)
+    monkeypatch.setattr(quality, "MAX_PAIR_BITS", 9)
+    docs, _ = corpus()
+    df = spark.createDataFrame([(0, i, 1, t) for i, t in enumerate(docs[:50])], "h1 long, h2 long, copies long, text string")
+    table = quality.analysed(df)
+    assert 4 < quality.Pairs.of(table).bits <= 9
+    monkeypatch.setattr(quality, "FULL", 0.01)
+    assert quality.Pairs.of(table).bits == 9
+
+
+def figures(s):
+    """A segment's votes by plain Python, one text at a time."""
+    import re
+
+    words = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", s)  # then in lower case, which may make two characters of one
+    vote = lambda against, for_it: 1 if against else 2 if for_it else 0
+    k, n, letters = len(words), len(s.split()), sum(map(len, words))
+    chars = len(s) - s.count(" ") or 1
+    common = sum(w.lower() in quality._COMMON for w in words) / (k or 1)
+    symbols = max(0, chars - letters - sum(c.isdecimal() for c in s)) / chars
+    digits = len(re.findall(r"[^\s\d]*\d\S*", s)) / (n or 1)
+    rules = len(re.findall(r"[|;={}<>\\\t·•~^#$%&*+@]|\.{3,}|(?<=\S)/(?=\s)|(?<=\S),(?=\S)|\s{3,}", s)) / (n or 1)
+    variety, size = len({w.lower() for w in words}) / (k or 1), letters / (k or 1)
+    upper = len(re.findall(r"\s[A-ZÀ-ÞĀ-ſΑ-ΩА-Я]", s)) / max(1, n - 1)
+    return [
+        vote(k <= 4, k >= 6), 0 if k < 3 else vote(common < 0.1, common >= 0.2), vote(symbols > 0.16, symbols < 0.09), vote(digits > 0.4, digits < 0.25), vote(rules > 0.18, rules < 0.08),
+        0 if k < 6 else vote(variety < 0.5, variety > 0.7), 0, 0, vote(upper > 0.55, upper < 0.35) if n >= 4 and not s.isupper() else 0, 0 if not k else vote(size > 12 or size < 2.3, 3 <= size <= 9),
+        2 if s.rstrip("\"'”’»)] ")[-1:] in (".", "!", "?", "…") else 0,
+    ]
+
+
+def test_votes_of_a_batch_equal_those_of_each_segment():
+    docs, _ = corpus()
+    extra = ["L'été n’est pas fini, dit-il…", "a , b / c ... d 12.5 % x_y 7a", "ÇA VA TRÈS BIEN AUJOURD'HUI", "Ж и Я — 42; foo=bar", "one", "....", "Straße İstanbul ﬁn ½ ² x", "tab\there  and   three"]
+    segs = [s for t in docs + extra for s in quality.segments(t)]
+    _, k, code, n = quality.segment_votes(segs)
+    got = quality.digits_of(code)
+    for s, row, tokens in zip(segs, got.tolist(), n.tolist()):
+        assert row == figures(s) and tokens == sum(any(c.isalnum() or c == "_" for c in w) for w in s.split()), s
