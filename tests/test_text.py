@@ -90,3 +90,38 @@ def test_html():
     md = to_markdown(page)
     assert "## T & U" in md and "a **b**" in md and "- x\n- y" in md and "z" not in md and "c\n  d" in md and "| 1 | 2" in md
     assert to_markdown("") == to_markdown(None) == "" and to_text("<p>a</p> <p> b </p>") == "a\nb"
+
+
+def _mail_by_lines(text_):
+    """The mail rules line by line, in plain Python."""
+    import re
+
+    space = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x2028, 0x2029, 0x3000]))
+    kept = []
+    for line in re.split("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]", text_):
+        if not line.strip(space) or re.match(r"\s*(?:\*?\s*(?:From|Sent|To|Subject|Importance|CC)\s*:|\|)", line, re.I):
+            continue
+        if any(p in line.lower() for p in text.SIGN_OFFS + text.PRIVACY):
+            break
+        parts, at = [], 0
+        for m in re.finditer(r"\. +", line):
+            if not line[: m.start()].endswith(tuple(text.ABBREVIATIONS)):
+                parts.append(line[at : m.start()])
+                at = m.end()
+        parts = [p for p in (p.strip(space) for p in [*parts, line[at:]]) if p]
+        if parts:
+            joined = ". ".join(parts)
+            kept.append(joined if joined.endswith(".") else joined + ".")
+    return " ".join(kept)
+
+
+def test_mail_rules_against_lines(spark):
+    """Random texts of the pieces that the rules look at."""
+    import random
+
+    rng = random.Random(5)
+    pieces = ["a", "Mr", "etc", "i.e", ".", ". ", ".  ", " ", "  ", "\t", "\n", "\r\n", "\x0b", " ", "\xa0", "From:", "*To :", "|x", "Kind Regards", "disclaimer:", "word", "B", "..", "com"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(6000)] + ["a" + " " * 20000 + ". b" + ". " * 20000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", text.filter_email_content(F.col("t")).alias("r"))
+    for r in df.collect():
+        assert r.r == _mail_by_lines(texts[r.i]), repr(texts[r.i])

@@ -43,36 +43,44 @@ def _escaped(word: str) -> str:
     return word.replace(".", r"\.")
 
 
-SENTENCE = "".join(rf"(?<!{_escaped(a)})" for a in ABBREVIATIONS) + r"\. +"
+# Every pattern starts with a character that few positions hold; W(?<!WW) is the first of a run of white space.
+_IN_LINE = WS.replace(r"[\s", r"[ \t")
+_RUN = rf"{_IN_LINE}(?<!{_IN_LINE}{_IN_LINE}){_IN_LINE}*+"
+_SENTENCE = rf"\.(?<!{'|'.join(_escaped(a) + '[.]' for a in ABBREVIATIONS)}) +{_IN_LINE}*+"
 
 
-def strip(c: Column) -> Column:
-    """Without white space at both ends, as str.strip takes it."""
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
-
+def _any_of(phrases: list[str]) -> str:
+    """A pattern of the phrases, by first letter; one that holds another is left out."""
+    least = [p for p in phrases if not any(q != p and q in p for q in phrases)]
+    return "|".join(rf"{a}(?:{'|'.join(rf'\Q{p[1:]}\E' for p in least if p[0] == a)})" for a in sorted({p[0] for p in least}))
 
-def is_header_or_table(line: Column) -> Column:
-    return line.rlike(f"(?iu){HEADER}") | line.rlike(TABLE)
 
+# The characters of WS, for trimming.
+_SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
-def ends_mail(line: Column) -> Column:
-    """A sign-off or a privacy phrase anywhere in the line: nothing after it counts."""
-    return F.lower(line).rlike("|".join(rf"\Q{phrase}\E" for phrase in [*SIGN_OFFS, *PRIVACY]))
 
-
-def clean_paragraph(line: Column) -> Column:
-    """The line's sentences, trimmed, joined by ". " and ended by a full stop."""
-    parts = F.filter(F.transform(F.split(line, SENTENCE, -1), strip), lambda s: s != "")
-    # the stop is put where the text ends in anything else, so the text is worked out once
-    return F.regexp_replace(F.array_join(parts, ". "), r"(?<=[^.])\z", ".")
+def strip(c: Column) -> Column:
+    """Without white space at both ends, as str.strip takes it."""
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def filter_email_content(c: Column) -> Column:
-    """The text of a mail up to its sign-off or privacy notice, without header and table lines; null stays null."""
-    lines = F.filter(F.split(c, LB, -1), lambda p: (strip(p) != "") & ~is_header_or_table(p))
-    stop = F.array_position(F.transform(lines, ends_mail), True)
-    kept = F.when(stop > 0, F.slice(lines, F.lit(1), F.greatest(stop.cast("int") - 1, F.lit(0)))).otherwise(lines)
-    return F.array_join(F.filter(F.transform(kept, clean_paragraph), lambda s: s != ""), " ")
+    """The text of a mail up to its sign-off or privacy notice, without header and table lines; null stays null.
+
+    Each kept line comes as its sentences, joined by ". " and ended by a full stop; lines are joined by a space. Every rule is
+    one pass of a pattern over the whole text, so no line is an object of its own. A sign-off or privacy phrase anywhere in a
+    line ends the mail before that line; case is that of ASCII letters, which is all the phrases have."""
+    header = HEADER.removeprefix("^").replace(WS, _IN_LINE)
+    t = F.regexp_replace(c, LB, "\n")
+    t = F.regexp_replace(t, rf"(?md)^(?:(?iu:{header})|{_IN_LINE}*+\|)[^\n]*", "")
+    t = F.regexp_replace(t, rf"(?md)^(?i:[^\n]*?(?:{_any_of(SIGN_OFFS + PRIVACY)}))(?s:.*)", "")
+    t = F.regexp_replace(t, rf"(?md)^(?:{_IN_LINE}*+{_SENTENCE})++", "")
+    t = F.regexp_replace(t, rf"{_SENTENCE}(?:{_SENTENCE})*+", ". ")
+    t = F.regexp_replace(t, rf"{_RUN}(?=\. )", "")
+    t = F.regexp_replace(t, r"\. (?=\n|\z)", "")
+    # blank ends of lines and empty lines, then the full stops
+    t = strip(F.regexp_replace(t, rf"(?:{_RUN})?\n{WS}*+", "\n"))
+    return F.regexp_replace(F.regexp_replace(t, r"(?<=[^.\n])(?=\n|\z)", "."), "\n", " ")
 
 
 def clean_description(c: Column) -> Column:
@@ -80,7 +88,7 @@ def clean_description(c: Column) -> Column:
     text = filter_email_content(F.regexp_replace(c, COLOR, ""))
     for a in ARTEFACTS:
         text = F.replace(text, F.lit(a), F.lit(""))
-    return strip(F.regexp_replace(text, f"{WS}+", " "))
+    return strip(F.regexp_replace(text, rf"(?:  |(?! ){WS}){WS}*+", " "))
 
 
 def clean_summary(c: Column) -> Column:
