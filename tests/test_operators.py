@@ -245,3 +245,167 @@ def test_tuning_lets_size_errors_surface(spark, monkeypatch, method):
     monkeypatch.setattr(density, "MAX_POINTS", 3)
     with pytest.raises(ValueError, match="more than 3 rows"):
         vector_queries._tuned(spark, "/root/testdata/sf0.001", method)
+
+
+def _prim(d):
+    """The weights of the minimum spanning tree of a full distance matrix, sorted."""
+    best, inside, out = d[0].copy(), np.zeros(len(d), bool), []
+    inside[0] = True
+    for _ in range(len(d) - 1):
+        j = np.where(inside, np.inf, best).argmin()
+        out.append(best[j])
+        inside[j] = True
+        best = np.minimum(best, d[j])
+    return sorted(out)
+
+
+def test_tree_is_that_of_all_distances(spark, monkeypatch):
+    """Two dense groups whose rows all have their neighbours inside, and a row far from both: no neighbour list holds the edge
+    between the groups, and the tree must not go through the far row."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 0.05, (40, 2)), rng.normal((3, 0), 0.05, (40, 2)), [(1.5, 4.0)], np.zeros((5, 2)), rng.uniform(-9, 9, (12, 2))]).astype(np.float32)
+    trees = []
+    plain = density.completed_tree
+    monkeypatch.setattr(density, "completed_tree", lambda *a: trees.append(plain(*a)) or trees[-1])
+    monkeypatch.setattr(density, "BLOCK", 7)
+    labels = [density.hdbscan(points(spark, x), 5, neighbours=k).orderBy("id").toPandas() for k in (6, 97)]
+    y = x.astype(float)
+    d = np.sqrt(((y[:, None] - y[None]) ** 2).sum(2))
+    core = np.sort(d, axis=1)[:, 5]
+    full = np.maximum(np.maximum(d, core[:, None]), core[None, :])
+    for tree in trees:
+        assert len(tree) == len(x) - 1 and np.allclose(sorted(w for *_, w in tree), _prim(full))
+    assert labels[0].equals(labels[1])
+
+
+def test_final_run(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.05, (20, 6)) for c in np.eye(6)[:3]])
+    best = {"n_neighbors": 6, "n_components": 3, "min_cluster_size": 5}
+    same = density.final_run(points(spark, x), best, dims=3).toPandas()
+    other = density.final_run(points(spark, x), best, dims=2).toPandas()
+    assert len(same) == len(other) == 60 and {len(v) for v in same.v} == {3} and {len(v) for v in other.v} == {2}
+    assert list(same.sort_values("id").cluster_label) == list(other.sort_values("id").cluster_label)
+    reduced = density.umap(points(spark, x), density.Layout(6, 3)).toPandas().set_index("id").v
+    assert all(list(v) == list(reduced[i]) for i, v in zip(same.id, same.v))
+
+
+def test_labels_join(spark):
+    meta = spark.createDataFrame([(1, "a", 9), (2, "b", 9), (3, "c", 9)], "doc_id long, t string, cluster_label int")
+    labels = spark.createDataFrame([(1, 4), (2, -1), (1, 5)], "id long, cluster_label int")
+    got = {r.doc_id: r.cluster_label for r in explore.with_labels(meta, labels).collect()}
+    assert got == {1: 4, 2: -1, 3: -1} and explore.with_labels(meta.limit(0), labels).count() == 0
+
+
+def test_aligned_lists(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "c"], [1, 2]), (2, None, [1]), (3, [], [1])], "i long, x array<string>, y array<int>")
+    assert [tuple(r) for r in explore.aligned(df, ["x", "y"]).orderBy("position").collect()] == [(1, 0, "a", 1), (1, 1, "b", 2)]
+
+
+def test_label_variants(spark):
+    from ticketloom.functions import text
+
+    df = spark.createDataFrame([(None,), (-1,), (3,)], "l int")
+    assert [r[0] for r in df.select(text.label_text_or_unknown(F.col("l"))).collect()] == ["Unknown", "Noise", "3"]
+    assert [r[0] for r in df.select(text.label_text(F.col("l"))).collect()] == ["Noise", "Noise", "3"]
+
+
+def test_sections(spark):
+    inner = "<section id='b'>in</section>"
+    page = f"<section>out</section><div class='x ted'><p/><section>a{inner}</section><div>y</div><!-- <section> --><section>c</div><section>after</section>"
+    df = spark.createDataFrame([(page,), (None,), ("<p>none</p>",)], "h string")
+    got = [r[0] for r in df.select(web.sections(F.col("h"), "ted")).collect()]
+    assert got == [f"<section>a{inner}</section>{inner}<section>c", None, None]
+    assert df.select(web.sections(F.col("h"))).first()[0].startswith(f"<section>out</section><section>a{inner}</section>{inner}")
+
+
+def test_crawl_limit_and_depth(spark):
+    """The limit counts processed pages one by one, in order; depth has no bound."""
+    edges = spark.createDataFrame([("s", f"p{k:03}") for k in range(60)] + [(f"p{k:03}", f"q{k:03}") for k in range(60)], "url string, link string")
+    start = spark.createDataFrame([("s",)], "url string")
+    got = web.crawl(edges, start, limit=50).toPandas()
+    assert (got.depth == 1).sum() == 60 and sorted(got.url[got.depth == 2]) == [f"q{k:03}" for k in range(49)]
+    content = spark.createDataFrame([("s",), ("p001",), ("p002",), ("p059",)], "url string")
+    assert sorted(r.url for r in web.crawl(edges, start, limit=3, with_content=content).where("depth = 2").collect()) == ["q001", "q002"]
+    chain = spark.range(130).select(F.col("id").cast("string").alias("url"), (F.col("id") + 1).cast("string").alias("link"))
+    assert web.crawl(chain, spark.createDataFrame([("0",)], "url string")).agg(F.max("depth")).first()[0] == 130
+
+
+def test_cleaned_file_has_mark_and_name(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a,"b"\nc'), (2, "é")], "i long, `t,x` string").repartition(2)
+    path = sinks.write_cleaned_file(df, f"{tmp_path}/Export 1.csv")
+    raw = open(path, "rb").read()
+    assert path.endswith("/Export 1_cleaned.csv") and raw.startswith(b'\xef\xbb\xbfi,"t,x"\n')
+    assert sinks.write_cleaned_file(df, f"{tmp_path}/Export 1.csv") == path and open(path, "rb").read().count(b"\xef\xbb\xbf") == 1
+    got = files.read_cleaned(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == [("1", 'a,"b"\nc'), ("2", "é")]
+
+
+def test_collection_is_made_once(spark, tmp_path):
+    path = str(tmp_path / "c")
+    assert sinks.create_collection(spark, path, "id long, t string", description="d") and not sinks.create_collection(spark, path, "id long, t string", description="e")
+    assert sinks.about_collection(spark, path)["description"] == "d" and "created" in sinks.about_collection(spark, path)
+    sinks.append_new(spark.createDataFrame([(1, "a")], "id long, t string"), path)
+    assert files.collection_count(spark, path) == 1 and sinks.about_collection(spark, str(tmp_path / "none")) == {}
+
+
+def test_the_last_page_of_a_name_is_written(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a.md", "z"), (2, "a.md", "b"), (3, "no/dir", "c")], "page_id long, filename string, content string")
+    got = {r.filename: r.error for r in sinks.write_files(rows, f"file://{tmp_path}/p", order="page_id").collect()}
+    assert (tmp_path / "p/a.md").read_text() == "b" and got["a.md"] is None and got["no/dir"]
+
+
+def test_tokens(spark):
+    from ticketloom.functions import tokens
+
+    texts = ["Hello world", "", None, "a  b\n\nc " * 2000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    encode = tokens.encoding(tokens.TOKENIZER).encode_ordinary
+    assert [r[1] for r in df.select("i", tokens.token_count(F.col("t"))).orderBy("i").collect()] == [len(encode(t)) if t else 0 for t in texts]
+    docs = tickets.embedding_documents(df.select(F.col("i").alias("issue_id"), F.col("t").alias("cleaned_summary")), count=tokens.token_count)
+    assert docs.where("id = '0'").select("metadata.token_count").first()[0] == 2
+
+
+def test_json_totals(spark):
+    from ticketloom.functions import text, tokens
+
+    rows = [("a", json.dumps({"1": {"text": "Hello world"}, "2": {"text": ""}})), ("b", "{"), ("c", json.dumps({"1": {}})), ("d", "{}")]
+    raw = spark.createDataFrame(rows, "f string, j string")
+    got = tickets.segment_token_totals(raw, "f", "j", tokens.token_count)
+    assert {r.file: (r.n_segments, r.n_tokens, r.error) for r in got.collect()} == {"a": (2, 2, None), "b": (None, None, "invalid JSON"), "c": (None, None, "segment without text"), "d": (0, 0, None)}
+    plain = tickets.segment_token_totals(raw, "f", "j", text.word_count)
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, tickets.segment_tokens(raw, "f", "j").select("file", "n_segments", "n_tokens", "error").collect()), key=str)
+    total = [tuple(r) for r in tickets.with_grand_total(got).collect() if r.is_total]
+    assert total == [(None, 1, 2, 2, 2)]
+
+
+@pytest.mark.parametrize("method", ["random", "bayesian"])
+def test_trials_are_timed_and_errors_of_programming_surface(spark, tmp_path, method):
+    found = tuning.tune(method, lambda p: (20, 0.1), evals=3)
+    table = found.table(spark)
+    assert table.where("eval_time >= 0").count() == 3
+    path = sinks.write_tuning(table, method, 3, str(tmp_path))
+    assert ("eval_time" in spark.read.option("header", True).csv(path).columns) == (method == "bayesian")
+    with pytest.raises(KeyError):
+        tuning.tune(method, lambda p: p["nothing"], evals=3)
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from ticketloom import session
+
+    conf = SimpleNamespace(get=lambda key, default=None: default, set=lambda key, value: None)
+    with pytest.raises(RuntimeError):
+        session.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    assert session.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[2]"))).startswith("file://")
+
+
+def test_least_hashed_is_a_bounded_sample_of_keys(spark):
+    from ticketloom.session import least_hashed
+
+    rows = spark.range(5000).select(F.when(F.col("id") < 3000, F.lit(7)).otherwise(F.col("id")).alias("k"), F.lit("x").alias("t"))
+    got = least_hashed(rows, F.col("k"), 100).toPandas()
+    assert len(got) == 100 == got.k.nunique() and list(got.h) == sorted(got.h)
+    every = rows.select(F.pmod(F.xxhash64("k"), F.lit(1 << 40)).alias("h")).distinct().orderBy("h").limit(100).toPandas()
+    assert list(every.h) == list(got.h) and least_hashed(rows.limit(0), F.col("k"), 5).count() == 0

@@ -165,3 +165,36 @@ def to_text(markup: str | None) -> str:
     parser.feed(markup)
     parser.close()
     return "\n".join(parser.out)
+
+
+_PLACES = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)(div|section)\b([^<>]*)>", re.S | re.I)
+_CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+
+
+def sections_of(page: str, container: str | None = None) -> str | None:
+    """The section elements of a page in document order, each up to its own end tag, or the container's where it is missing."""
+    found: list[tuple[int, int]] = []
+    opened: list[int] = []
+    depth, inside = 0, container is None
+    end = len(page)
+    for m in _PLACES.finditer(page):
+        closing, tag = bool(m[2]), (m[3] or "").lower()
+        if not tag:
+            continue
+        if tag == "div" and container is not None:
+            if not inside:
+                name = _CLASS.search(m[4])
+                inside = not closing and name is not None and container in (name[1] or name[2] or name[3] or "").split()
+                depth = 1
+            else:
+                depth += -1 if closing else 1
+                if not depth:
+                    end = m.start()
+                    break
+        elif inside and tag == "section":
+            if not closing:
+                opened.append(m.start())
+            elif opened:
+                found.append((opened.pop(), m.end()))
+    found += [(a, end) for a in opened]
+    return "".join(page[a:b] for a, b in sorted(found)) or None

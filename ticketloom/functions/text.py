@@ -115,6 +115,11 @@ def label_text(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit(-1)) == -1, F.lit("Noise")).otherwise(c.cast("string"))
 
 
+def label_text_or_unknown(c: Column) -> Column:
+    """A cluster label as text where a missing label is no noise: null is Unknown, -1 is Noise."""
+    return F.when(c.isNull(), F.lit("Unknown")).when(c == -1, F.lit("Noise")).otherwise(c.cast("string"))
+
+
 def between(c: Column, start: str, end: str) -> Column:
     """The trimmed text between the first `start` and the next `end`, or null where either is missing."""
     a = F.locate(start, c)

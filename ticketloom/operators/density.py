@@ -1,20 +1,23 @@
 """Density clustering and layouts of vectors: HDBSCAN labels with probabilities, UMAP coordinates.
 
 The neighbour graph is made by Spark; tree and layout are worked out in numpy on the driver from `MAX_POINTS` rows at
-most, each with a bounded number of neighbours. More rows are an error, never a sample. Rows in parts of the graph that no
-edge joins are parts of different clusters.
+most, each with a bounded number of neighbours. More rows are an error, never a sample. The spanning tree is that of all
+distances: where a part's neighbour lists cannot tell which edge leaves it, its rows are compared with all others, in blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.operators.tuning import TooLarge
-from ticketloom.operators.vectors import core_distances, mutual_reachability, nearest
+from ticketloom.operators.vectors import BLOCK, _matrix, core_distances, distances, mutual_reachability, nearest
+from ticketloom.session import written
 
 MAX_POINTS = 200_000
 
@@ -46,6 +49,91 @@ def spanning_tree(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> list[t
     return out
 
 
+def completed_tree(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, beyond: np.ndarray, outside) -> list[tuple[int, int, float]]:
+    """Boruvka's minimum spanning tree over the known edges (a, b, w) and all that are not known.
+
+    beyond: a lower bound of the weights of each row's unknown edges. outside(rows, part) gives for each of the rows its lightest
+    edge (other, weight) into another part, of all edges; it is asked for the rows whose bound is under the lightest known edge
+    that leaves their part. Equal weights go to the smaller ends, so no circle arises."""
+    part, out = np.arange(n), []
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    while len(np.unique(part)) > 1:
+        open_ = part[low] != part[high]
+        low, high, w = low[open_], high[open_], w[open_]
+        best = np.full(n, np.inf)  # by part
+        for ends in (low, high):
+            np.minimum.at(best, part[ends], w)
+        ask = np.flatnonzero(beyond <= best[part])
+        x, y, z = low, high, w
+        if len(ask):
+            other, weight = outside(ask, part)
+            x, y, z = np.concatenate([low, np.minimum(ask, other)]), np.concatenate([high, np.maximum(ask, other)]), np.concatenate([w, weight])
+        chosen: dict[int, tuple[float, int, int]] = {}
+        order = np.lexsort((y, x, z))
+        for ends in (x, y):
+            at, first = np.unique(part[ends[order]], return_index=True)
+            for p, k in zip(at, order[first]):
+                edge = (float(z[k]), int(x[k]), int(y[k]))
+                if p not in chosen or edge < chosen[p]:
+                    chosen[p] = edge
+        joined = np.arange(n)
+
+        def root(p: int) -> int:
+            while joined[p] != p:
+                joined[p] = joined[joined[p]]
+                p = joined[p]
+            return p
+
+        for weight_, i, j in sorted(set(chosen.values())):
+            p, q = root(part[i]), root(part[j])
+            if p != q:
+                joined[q] = p
+                out.append((i, j, weight_))
+        while (joined[joined] != joined).any():
+            joined = joined[joined]
+        part = joined[part]
+    return sorted(out, key=lambda e: (e[2], e[0], e[1]))
+
+
+def lightest_outside(rows: DataFrame, ids: np.ndarray, core: np.ndarray, metric: str, id_col: str, vector_col: str):
+    """The search that `completed_tree` asks for: the asked rows are sent block by block against all rows, like queries of
+    `nearest`. Parts and core distances are arrays of `MAX_POINTS` numbers at most."""
+    base = written(rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).dropDuplicates(["id"]))
+    spark = rows.sparkSession
+
+    def of(asked: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kind = base.schema["id"].dataType.simpleString()
+        other, weight = np.zeros(len(asked), np.int64), np.full(len(asked), np.inf)
+        for at in range(0, len(asked), BLOCK):
+            block = asked[at : at + BLOCK]
+            wanted = spark.createDataFrame([(v.item() if isinstance(v, np.generic) else v,) for v in ids[block]], f"id {kind}")
+            got = base.join(F.broadcast(wanted), "id").toPandas()  # BLOCK vectors
+            here = np.searchsorted(ids, got.id.to_numpy())
+            shared = spark.sparkContext.broadcast((here, _matrix(got.v), ids, part, core))
+
+            def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                here, q, ids, part, core = shared.value
+                for pdf in batches:
+                    if not len(pdf):
+                        continue
+                    there = np.searchsorted(ids, pdf.id.to_numpy())
+                    d = np.maximum(np.maximum(distances(q, _matrix(pdf.v), metric), core[here][:, None]), core[there][None, :])
+                    d[part[here][:, None] == part[there][None, :]] = np.inf
+                    order = np.argsort(there, kind="stable")  # of equal weights the smaller row
+                    j = order[d[:, order].argmin(1)]
+                    w = d[np.arange(len(here)), j]
+                    ok = np.isfinite(w)
+                    yield pd.DataFrame({"row": here[ok], "other": there[j[ok]], "w": w[ok]})
+
+            found = base.mapInPandas(scan, "row long, other long, w double").groupBy("row").agg(F.min(F.struct("w", "other")).alias("e")).select("row", "e.*").toPandas()
+            place = at + np.searchsorted(block, found.row.to_numpy())
+            other[place], weight[place] = found.other.to_numpy(), found.w.to_numpy()
+            shared.unpersist()
+        return other, weight
+
+    return of
+
+
 def labels_of_tree(n: int, tree: list[tuple[int, int, float]], min_cluster_size: int) -> tuple[np.ndarray, np.ndarray]:
     """Labels (-1: noise) and probabilities, by excess of mass over the condensed tree; the root is never chosen."""
     # single-linkage merges: node n + i joins left and right at a distance
@@ -150,18 +238,22 @@ def labels_of_tree(n: int, tree: list[tuple[int, int, float]], min_cluster_size:
 
 
 def hdbscan(rows: DataFrame, min_cluster_size: int = 10, min_samples: int | None = None, metric: str = "euclidean", neighbours: int = 60, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, cluster_label, probability) of every row with a vector.
+    """(id, cluster_label, probability) of every row with a vector, from the spanning tree of all mutual reachability distances.
 
-    With fewer neighbours than rows the tree is that of the neighbour graph: far rows may join a cluster later than they should."""
+    neighbours: so many of each row are found at once; fewer mean more comparisons later, not another result."""
     ids = _bounded(rows, id_col, vector_col)
     k = min_samples or min_cluster_size
-    graph = nearest(rows, rows, max(neighbours, k), metric, id_col, vector_col, skip_self=True)
-    from ticketloom.session import written
-
-    graph = written(graph)
-    edges = mutual_reachability(graph, core_distances(graph, min(k, max(1, len(ids) - 1)))).toPandas()  # MAX_POINTS x neighbours at most
+    graph = written(nearest(rows, rows, max(neighbours, k), metric, id_col, vector_col, skip_self=True))
+    cores = core_distances(graph, min(k, max(1, len(ids) - 1)))
+    edges = mutual_reachability(graph, cores).toPandas()  # MAX_POINTS x neighbours at most
+    core, beyond = np.zeros(len(ids)), np.full(len(ids), np.inf)
+    far = graph.groupBy(F.col("query_id").alias("id")).agg(F.max("distance").alias("far"), F.count("*").alias("n")).join(cores, "id").toPandas()
+    at = np.searchsorted(ids, far.id.to_numpy())
+    core[at] = far.core.to_numpy(float)
+    beyond[at] = np.where(far.n < len(ids) - 1, np.maximum(far.far, far.core), np.inf)
     a, b = np.searchsorted(ids, edges.a.to_numpy()), np.searchsorted(ids, edges.b.to_numpy())
-    labels, probability = labels_of_tree(len(ids), spanning_tree(len(ids), a, b, edges.weight.to_numpy(float)), min_cluster_size)
+    tree = completed_tree(len(ids), a, b, edges.weight.to_numpy(float), beyond, lightest_outside(rows, ids, core, metric, id_col, vector_col))
+    labels, probability = labels_of_tree(len(ids), tree, min_cluster_size)
     kind = rows.schema[id_col].dataType.simpleString()
     data = [(int(i) if isinstance(i, np.integer) else i, int(c), float(p)) for i, c, p in zip(ids, labels, probability)]
     return rows.sparkSession.createDataFrame(data, f"id {kind}, cluster_label int, probability double")
@@ -265,3 +357,13 @@ def score_configuration(rows: DataFrame, params: dict, id_col: str = "vec_id", v
     got = hdbscan(reduced, params["min_cluster_size"], id_col="id", vector_col="v").toPandas()
     count = got.cluster_label[got.cluster_label != -1].nunique()
     return int(count), float((got.probability < threshold).mean()) if len(got) else 1.0
+
+
+def final_run(rows: DataFrame, best: dict, dims: int = 3, min_dist: float = 0.1, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 42) -> DataFrame:
+    """(id, cluster_label, probability, v): the rows clustered with the best configuration, and their coordinates for a plot of
+    `dims` dimensions. The reduced vectors that were clustered are taken if they have so many, else the rows are laid out again."""
+    reduced = written(umap(rows, Layout(best["n_neighbors"], best["n_components"], seed=seed), id_col, vector_col))
+    labels = hdbscan(reduced, best["min_cluster_size"], id_col="id", vector_col="v")
+    fits = best["n_components"] == dims
+    shown = reduced if fits else umap(rows, Layout(best["n_neighbors"], dims, min_dist, seed=seed), id_col, vector_col)
+    return labels.join(shown, "id")

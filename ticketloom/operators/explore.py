@@ -74,9 +74,10 @@ def hover_long(df: DataFrame, source: str) -> DataFrame:
     return df.withColumn("hover_text", text.cut_long(F.col(source)))
 
 
-def formatted(fields: list[str]) -> Column:
-    """`name: value` lines of the fields that are not null."""
-    return F.concat_ws("\n", *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in fields])
+def formatted(fields: list[str] | dict[str, str]) -> Column:
+    """`name: value` lines of the fields that are not null; a dict gives the columns other names."""
+    names = fields if isinstance(fields, dict) else {c: c for c in fields}
+    return F.concat_ws("\n", *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}: "), F.col(c).cast("string"))) for c, name in names.items()])
 
 
 def color_key(choices: list[str], choice: str | int | None) -> str:
@@ -88,3 +89,33 @@ def color_key(choices: list[str], choice: str | int | None) -> str:
     if choice in choices:
         return choice
     return "cluster_label" if "cluster_label" in choices or not choices else choices[0]
+
+
+def with_labels(metadata: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "cluster_label") -> DataFrame:
+    """The metadata rows with the label of their id (labels: id, label); rows without one are noise. An older column of that
+    name is replaced; of several labels of an id the least counts, so no row is doubled."""
+    one = labels.groupBy(F.col("id").alias(id_col)).agg(F.min(label).alias(label))
+    return metadata.drop(label).join(one, id_col, "left").withColumn(label, F.coalesce(label, F.lit(-1)))
+
+
+def aligned(df: DataFrame, lists: list[str]) -> DataFrame:
+    """The list columns cut to the shortest one of their row, as one row a position (from 0) and a column for each list. A null
+    list makes no row, like an empty one."""
+    n = F.least(*[F.coalesce(F.size(c), F.lit(0)) for c in lists]) if len(lists) > 1 else F.coalesce(F.size(lists[0]), F.lit(0))
+    cut = [F.slice(c, F.lit(1), F.greatest(n, F.lit(0))).alias(c) for c in lists]
+    rest = [c for c in df.columns if c not in lists]
+    return df.select(*rest, *cut).select(*rest, F.posexplode(F.arrays_zip(*lists)).alias("position", "_item")).select(*rest, "position", *[F.col(f"_item.{c}").alias(c) for c in lists])
+
+
+# The metadata shown beside a search result, and the names they are shown under.
+SHOWN = {
+    "issue_key": "Issue key", "issue_type": "Issue Type", "status": "Status", "priority": "Priority", "category": "Category", "classification": "Classification",
+    "country": "Country", "user_category": "User category", "token_count": "token_count",
+}
+
+
+def search_results(hits: DataFrame, documents: DataFrame, id_col: str, document: str) -> DataFrame:
+    """(query_id, rank, id, document, shown, relevance): each hit (query_id, id, distance, rank) as it is shown."""
+    fields = {c: n for c, n in SHOWN.items() if c in documents.columns}
+    shown = documents.select(F.col(id_col).alias("id"), F.col(document).alias("document"), formatted(fields).alias("shown"))
+    return hits.join(shown, "id").select("query_id", "rank", "id", "document", "shown", F.round(1 - F.col("distance"), 4).alias("relevance"))

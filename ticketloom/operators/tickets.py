@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.functions import text
@@ -59,15 +61,20 @@ METADATA = [
 ]
 
 
-def embedding_documents(df: DataFrame, text_columns: tuple[str, ...] = ("cleaned_summary", "summary_in_english"), row_level: bool = False) -> DataFrame:
-    """(id, document, metadata): the text is the first of the columns that exists; with row_level the first not null in the row."""
+Counter = Callable[[Column], Column]
+
+
+def embedding_documents(df: DataFrame, text_columns: tuple[str, ...] = ("cleaned_summary", "summary_in_english"), row_level: bool = False, count: Counter = text.word_count) -> DataFrame:
+    """(id, document, metadata): the text is the first of the columns that exists; with row_level the first not null in the row.
+
+    count: how token_count is worked out, words by default; `functions.tokens.token_count` counts those of a tokenizer."""
     have = [c for c in text_columns if c in df.columns]
     document = F.coalesce(*[F.col(c) for c in have]) if row_level else F.col(have[0])
     fields = [c for c in METADATA if c in df.columns]
     return df.select(
         F.col("issue_id").cast("string").alias("id"),
         document.alias("document"),
-        F.struct(*fields, text.word_count(document).alias("token_count")).alias("metadata"),
+        F.struct(*fields, count(document).alias("token_count")).alias("metadata"),
     )
 
 
@@ -106,3 +113,25 @@ def segment_tokens(raw: DataFrame, file_col: str, json_col: str) -> DataFrame:
     return raw.select(
         F.col(file_col).alias("file"), F.when(error.isNull(), F.size(segments)).alias("n_segments"), F.when(error.isNull(), tokens).alias("n_tokens"), error.alias("error")
     )
+
+
+def segment_token_totals(raw: DataFrame, file_col: str, json_col: str, count: Counter) -> DataFrame:
+    """(file, n_segments, n_tokens, error) like `segment_tokens`, with a counter that a higher-order function cannot hold, such
+    as a tokenizer: the texts become rows and are summed again by file. A repeated file name counts once a row."""
+    values = F.from_json(json_col, "map<string,string>")
+    segments = F.map_entries(F.map_filter(values, lambda k, v: k.rlike(r"\A\p{N}+\z")))
+    texts = F.transform(segments, lambda e: F.get_json_object(e["value"], "$.text"))
+    error = F.when(values.isNull(), "invalid JSON").when(F.exists(texts, lambda t: t.isNull()), "segment without text")
+    rows = raw.select(F.col(file_col).alias("file"), texts.alias("texts"), error.alias("error"))
+    good = rows.where("error is null").select("file", F.size("texts").alias("n"), F.posexplode_outer("texts").alias("at", "t"))
+    counted = good.select("file", F.when(F.coalesce(F.col("at"), F.lit(0)) == 0, F.col("n")).otherwise(F.lit(0)).alias("n"), F.coalesce(count(F.col("t")), F.lit(0)).alias("k"))
+    sums = counted.groupBy("file").agg(F.sum("n").cast("int").alias("n_segments"), F.sum("k").cast("long").alias("n_tokens"), F.lit(None).cast("string").alias("error"))
+    bad = rows.where("error is not null").select("file", F.lit(None).cast("int").alias("n_segments"), F.lit(None).cast("long").alias("n_tokens"), "error")
+    return sums.unionByName(bad)
+
+
+def with_grand_total(per_file: DataFrame) -> DataFrame:
+    """(file, n_files, n_segments, n_tokens): a row for each file that could be read, and one without a name for all of them."""
+    good = per_file.where("error is null") if "error" in per_file.columns else per_file
+    sums = [F.count("*").alias("n_files"), F.sum("n_segments").alias("n_segments"), F.sum("n_tokens").alias("n_tokens")]
+    return good.rollup("file").agg(F.grouping("file").cast("int").alias("is_total"), *sums)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import random
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,11 @@ LOWER, UPPER, PENALTY, FAILED = 10, 75, 0.15, 999.0
 Score = Callable[[dict], tuple[int, float]]
 
 
+#: What makes a trial fail: values that a configuration cannot take, numbers out of range, errors of Spark or of the machine.
+#: Errors of programming, such as a wrong name or type, end the search.
+FAILURES = (ValueError, ArithmeticError, RuntimeError, OSError, PySparkException, Py4JError)
+
+
 class TooLarge(ValueError):
     """The table has more rows than the scored operator takes; no configuration can succeed, so the search ends with it."""
 
@@ -53,6 +61,16 @@ def select_best(trials: DataFrame, cost: str, id_col: str, lower: int = LOWER, u
 class Search:
     best: dict | None = None
     trials: list[dict] = field(default_factory=list)
+    #: Seconds of each trial, by its number; apart from the trials, which are the same in every run.
+    eval_times: dict[int, float] = field(default_factory=dict)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The trials with their eval_time; without trials an empty table."""
+        if not self.trials:
+            return spark.createDataFrame([], "run_id int, eval_time double")
+        key = next(iter(self.trials[0]))
+        names = [*self.trials[0], "eval_time"]
+        return spark.createDataFrame([(*t.values(), self.eval_times.get(t[key])) for t in self.trials], names)
 
 
 def random_search(score: Score, evals: int = 30, space: Space = Space(), lower: int = LOWER, upper: int = UPPER, seed: int = 42) -> Search:
@@ -61,12 +79,14 @@ def random_search(score: Score, evals: int = 30, space: Space = Space(), lower:
     out = Search()
     for run in range(evals):
         params = {k: rng.choice(v) for k, v in space.axes().items()}
+        began = time.perf_counter()
         try:
             count, cost = score(params)
         except TooLarge:
             raise
-        except Exception:
+        except FAILURES:
             continue
+        out.eval_times[run] = time.perf_counter() - began
         out.trials.append({"run_id": run, **params, "label_count": count, "cost": cost})
     inside = [t for t in out.trials if lower <= t["label_count"] <= upper] or out.trials
     out.best = min(inside, key=lambda t: (t["cost"], t["run_id"]), default=None)
@@ -106,13 +126,15 @@ def bayesian_search(score: Score, evals: int = 30, space: Space = Space(), lower
                     ratio *= dens[k][0][i] / dens[k][1][i]
                 if ratio > best_ratio:
                     best_ratio, params = ratio, {k: axes[k][i] for k, i in at.items()}
+        began = time.perf_counter()
         try:
             count, cost = score(params)
             value, status = cost + (0.0 if lower <= count <= upper else PENALTY), "ok"
         except TooLarge:
             raise
-        except Exception:
+        except FAILURES:
             count, value, status = 0, FAILED, "fail"
+        out.eval_times[trial] = time.perf_counter() - began
         out.trials.append({"trial_id": trial, **params, "label_count": count, "loss": value, "status": status})
     ok = [t for t in out.trials if t["status"] == "ok"]
     out.best = min(ok, key=lambda t: (t["loss"], t["trial_id"]), default=None)

@@ -22,7 +22,7 @@ def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
 
 
-def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     """(queries, rows) in double precision; the cosine distance to a zero vector is 1."""
     if metric == "cosine":
         norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
@@ -59,13 +59,18 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_
                 if not len(pdf):
                     continue
                 own = pdf.id.to_numpy()
-                d = _distances(q, _matrix(pdf.v), metric)
+                d = distances(q, _matrix(pdf.v), metric)
                 if skip_self:
                     d[qid[:, None] == own[None, :]] = np.inf
-                order = np.lexsort((np.broadcast_to(own, d.shape), d), axis=1)[:, :k] if own.dtype != object else d.argsort(1, kind="stable")[:, :k]
-                near = np.take_along_axis(d, order, 1)
-                i, j = np.nonzero(np.isfinite(near))
-                yield pd.DataFrame({"query_id": qid[i], "id": own[order[i, j]], "distance": near[i, j]})
+                # all that are as near as the k-th, in order; the window below takes the k of least id among equals
+                kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                i, j = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
+                if own.dtype != object and len(i) > k * len(d):
+                    order = np.lexsort((own[j], d[i, j], i))
+                    i, j = i[order], j[order]
+                    place = np.arange(len(i)) - np.searchsorted(i, i, "left")
+                    i, j = i[place < k], j[place < k]
+                yield pd.DataFrame({"query_id": qid[i], "id": own[j], "distance": d[i, j]})
 
         return base.mapInPandas(scan, schema)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ticketloom.functions import text
-from ticketloom.functions.html import to_markdown, to_text
+from ticketloom.functions.html import sections_of, to_markdown, to_text
 from ticketloom.session import written
 
 # Paths that are no pages.
@@ -67,10 +67,11 @@ def text_of(html: Column) -> Column:
     return _udf(lambda s: s.map(to_text))(html)
 
 
-def sections(html: Column) -> Column:
-    """All section elements joined in document order; nested ones come again, as each is an element of its own."""
-    # the outer element up to its own end is approximated by the regular expression for unnested ones
-    return F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)(<section(?:\s[^>]*)?>.*?</section\s*>)"), F.lit(1)), "")
+def sections(html: Column, container: str | None = None) -> Column:
+    """All section elements joined in document order, each with all that it holds, so nested ones come again; null without any.
+
+    container: only those below the first div of that class."""
+    return _udf(lambda s: s.map(lambda h: sections_of(h, container), na_action="ignore"))(html)
 
 
 def last_by_name(pages: DataFrame, order: str = "page_id") -> DataFrame:
@@ -79,24 +80,45 @@ def last_by_name(pages: DataFrame, order: str = "page_id") -> DataFrame:
     return named.groupBy("filename").agg(F.max(order).alias(order))
 
 
-def crawl(edges: DataFrame, start: DataFrame, limit: int | None = None, rounds: int = 100) -> DataFrame:
+#: So many written rounds are read as a union before they are written as one table.
+_PARTS = 12
+
+
+def crawl(edges: DataFrame, start: DataFrame, limit: int | None = None, with_content: DataFrame | None = None) -> DataFrame:
     """(url, depth): what can be reached from `start` (url) over `edges` (url, link), breadth first, each page once.
 
-    `limit` bounds the pages that are expanded; the round that passes it is the last. Each round is written, so
-    the lineage stays short and a lost executor costs one round."""
-    seen = written(start.select("url").where("url is not null").distinct().withColumn("depth", F.lit(0)))
-    frontier, expanded = seen, 0
-    for depth in range(1, rounds + 1):
-        if limit is not None:
-            expanded += frontier.count()
-            if expanded > limit:
-                break
-        new = frontier.join(edges.select("url", "link"), "url").select(F.col("link").alias("url")).where("url is not null").distinct()
-        new = written(new.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
+    Only pages in `with_content` (url), by default all, are processed, that is give links. `limit` bounds the processed pages:
+    they are taken by depth, then by url, and pages without content do not count. Depth has no bound: it ends when nothing new
+    comes. Each round is written, so the lineage stays short and a lost executor costs one round."""
+    frontier = written(start.select("url").where("url is not null").distinct().withColumn("depth", F.lit(0)))
+    parts, left, depth = [frontier], limit, 0
+    while True:
+        depth += 1
+        pages = frontier.select("url")
+        if with_content is not None:
+            pages = pages.join(with_content.select("url").distinct(), "url", "left_semi")
+        if left is not None:
+            pages = written(pages.orderBy("url").limit(left))  # the limit is the caller's
+            left -= pages.count()
+        new = pages.join(edges.select("url", "link"), "url").select(F.col("link").alias("url")).where("url is not null").distinct()
+        for part in parts:
+            new = new.join(part.select("url"), "url", "left_anti")
+        frontier = written(new.withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
             break
-        seen, frontier = written(seen.unionByName(new)), new
-    return seen
+        parts.append(frontier)
+        if len(parts) > _PARTS:
+            parts = [written(_union(parts))]
+        if left == 0:
+            break
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def latest(pages: DataFrame, key: str = "url", order: tuple[str, ...] = ("fetched_at", "page_id")) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 from datetime import datetime
-from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom.operators.tickets import insert_new, numbered_batches
@@ -19,6 +19,66 @@ def write_cleaned(df: DataFrame, folder: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(folder)
 
 
+def write_cleaned_file(df: DataFrame, input_file: str) -> str:
+    """One file `<stem>_cleaned<suffix>` beside the input, with a byte order mark and a header, replaced if it exists; its path.
+
+    The parts are written by the tasks and put together as streams of bytes."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    head, _, name = input_file.rpartition("/")
+    stem, dot, suffix = name.rpartition(".")
+    target = f"{head}/{stem}_cleaned.{suffix}" if dot and stem else f"{head}/{name}_cleaned"
+    parts = f"{target}.parts"
+    df.write.mode("overwrite").option("escape", '"').option("header", False).csv(parts)
+    at, folder = jvm.org.apache.hadoop.fs.Path(target), jvm.org.apache.hadoop.fs.Path(parts)
+    fs = at.getFileSystem(conf)
+    out = fs.create(at, True)
+    try:
+        quoted = ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\r\n') else c for c in df.columns)
+        out.write(bytearray(f"\ufeff{quoted}\n".encode()))
+        for path in sorted(str(s.getPath()) for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")):
+            part = fs.open(jvm.org.apache.hadoop.fs.Path(path))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+    fs.delete(folder, True)
+    return target
+
+
+_ABOUT = "_about.json"
+
+
+def create_collection(spark: SparkSession, path: str, schema: str, **about: str) -> bool:
+    """An empty collection of that schema with what is told about it, if none is there yet; whether it was made."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        return False
+    spark.createDataFrame([], schema).write.parquet(path)
+    out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/{_ABOUT}"), True)
+    out.write(bytearray(json.dumps({"created": datetime.now().isoformat(timespec="seconds"), **about}).encode()))
+    out.close()
+    return True
+
+
+def about_collection(spark: SparkSession, path: str) -> dict[str, str]:
+    """What `create_collection` was told; empty where nothing was."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/{_ABOUT}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return {}
+    part = fs.open(at)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(part, "UTF-8"))
+    finally:
+        part.close()
+
+
 def append_new(df: DataFrame, path: str, id_col: str = "id") -> None:
     """Adds the rows whose id the collection does not hold yet; creates it if absent."""
     spark = df.sparkSession
@@ -67,22 +127,29 @@ def hashed_embedder(dim: int = 96) -> Callable[[list[str]], list[list[float]]]:
     return embed
 
 
-def write_files(df: DataFrame, folder: str, name: str = "filename", content: str = "content") -> DataFrame:
-    """One text file a row in a folder that all executors share; returns (filename, error), nothing is raised.
+def write_files(df: DataFrame, folder: str, name: str = "filename", content: str = "content", order: str | None = None) -> DataFrame:
+    """One text file a row in a folder that all executors share, on any file system that pyarrow knows by its address; returns
+    (filename, error), nothing is raised.
 
-    Of rows with one name the greatest content wins, so runs agree."""
-    chosen = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("filename")).agg(F.max(content).alias("content"))
+    Of rows with one name the one of greatest `order` is the last writer, by default and on ties that of greatest content, so
+    runs agree. A null content is an empty file."""
+    last = F.struct(F.col(order), F.col(content)) if order else F.struct(F.col(content))
+    chosen = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("filename")).agg(F.max(last).alias("last")).select("filename", F.col(f"last.{content}").alias("content"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        root = Path(folder)
-        root.mkdir(parents=True, exist_ok=True)
+        from pyarrow import fs
+
+        where = folder if "://" in folder else f"file://{folder}"
+        files, root = fs.FileSystem.from_uri(where)
+        files.create_dir(root, recursive=True)
         for pdf in batches:
             out = []
             for n, c in zip(pdf["filename"], pdf["content"]):
                 try:
-                    (root / n).write_text(c or "", encoding="utf-8")
+                    with files.open_output_stream(f"{root}/{n}") as f:
+                        f.write((c or "").encode())
                     out.append((n, None))
-                except OSError as e:
+                except (OSError, ValueError) as e:
                     out.append((n, str(e)))
             yield pd.DataFrame(out, columns=["filename", "error"])
 
@@ -107,4 +174,4 @@ def write_tuning(trials: DataFrame, method: str, evals: int, folder: str, prefix
     return path
 
 
-__all__ = ["append_new", "embed_in_batches", "hashed_embedder", "insert_new", "numbered_batches", "write_cleaned", "write_files", "write_tuning"]
+__all__ = ["about_collection", "append_new", "create_collection", "embed_in_batches", "hashed_embedder", "insert_new", "numbered_batches", "write_cleaned", "write_cleaned_file", "write_files", "write_tuning"]
