@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom.functions import text
+from ticketloom.functions.tokens import token_count
 from ticketloom.operators import tickets
 from ticketloom.session import read
 
@@ -96,11 +97,28 @@ def json_segment_tokens(spark: SparkSession, root: str) -> DataFrame:
     return tickets.segment_tokens(raw, "issue_id", "raw").select(F.col("file").alias("issue_id"), "n_segments", "n_tokens")
 
 
+def json_segment_totals(spark: SparkSession, root: str) -> DataFrame:
+    """The same documents, one row each and one for all of them."""
+    return tickets.with_grand_total(json_segment_tokens(spark, root).withColumnRenamed("issue_id", "file"))
+
+
+def token_stats_bpe(spark: SparkSession, root: str) -> DataFrame:
+    """Tokens of a public vocabulary."""
+    counted = read(spark, root, "documents").select(token_count(F.col("text")).alias("n"))
+    return counted.agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.round(F.avg("n"), 6).alias("mean_tokens"))
+
+
+def token_stats_bpe_by_source(spark: SparkSession, root: str) -> DataFrame:
+    counted = read(spark, root, "documents").select("source", token_count(F.col("text")).alias("n"))
+    return counted.rollup("source").agg(F.grouping("source").cast("int").alias("is_total"), F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         ticket_clean_pipeline, ticket_filter_english, ticket_filter_unlinked, ticket_clean_summary, ticket_filter_summary, ticket_strip_color, ticket_clean_description,
-        doc_filter_email_content, ticket_stage_counts, ticket_rename_fields, embed_metadata_struct, embed_batches, token_stats, token_stats_by_source, json_segment_tokens,
+        doc_filter_email_content, ticket_stage_counts, ticket_rename_fields, embed_metadata_struct, embed_batches, token_stats, token_stats_by_source, token_stats_bpe, token_stats_bpe_by_source, json_segment_tokens,
+        json_segment_totals,
     )
 }
 
@@ -159,5 +177,8 @@ from (select count(*) as n_read, count(*) filter ({_EN}) as n_english, count(*)
     "embed_batches": "select doc_id, cast(floor((row_number() over (order by doc_id) - 1) / 500) as bigint) as batch_no from documents",
     "token_stats": f"select count(*) as n_docs, sum({_words('text')}) as n_tokens, round(avg({_words('text')}), 6) as mean_tokens from documents",
     "token_stats_by_source": f"select source, grouping(source) as is_total, count(*) as n_docs, sum({_words('text')}) as n_tokens from documents group by rollup (source)",
+    "json_segment_totals": f"""
+select issue_id as file, grouping(issue_id) as is_total, count(*) as n_files, sum(n) as n_segments, sum(k) as n_tokens
+from (select issue_id, count(*) as n, sum({_words('text')}) as k from documents where issue_id is not null group by issue_id) group by rollup (issue_id)""",
     "json_segment_tokens": f"select issue_id, count(*) as n_segments, sum({_words('text')}) as n_tokens from documents where issue_id is not null group by issue_id",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketloom.functions import text
 from ticketloom.operators import density, explore, tickets, tuning, vectors
 from ticketloom.session import read, written
 
@@ -100,9 +101,47 @@ def hover_table_b(spark: SparkSession, root: str) -> DataFrame:
     return explore.hover_long(_hover(spark, root), "text").drop("text")
 
 
+_TICKET_FIELDS = ["issue_type", "status", "priority", "category", "classification", "user_category"]
+
+
+def _shown(spark: SparkSession, root: str) -> DataFrame:
+    """The embedded summaries with the fields that are shown beside a result; those of the ticket from its last export."""
+    last = F.max_by(F.struct(*_TICKET_FIELDS), "exported_at").alias("t")
+    tickets_ = read(spark, root, "tickets").groupBy("issue_id").agg(last).select("issue_id", "t.*")
+    return read(spark, root, "helpdesk_summaries_embeddings").join(tickets_, "issue_id", "left")
+
+
 def result_metadata(spark: SparkSession, root: str) -> DataFrame:
-    fields = ["issue_key", "components", "country", "token_count"]
-    return read(spark, root, "helpdesk_summaries_embeddings").select("doc_id", "embedded_at", explore.formatted(fields).alias("shown"))
+    return _shown(spark, root).select("doc_id", "embedded_at", explore.formatted(explore.SHOWN).alias("shown"))
+
+
+def query_results(spark: SparkSession, root: str) -> DataFrame:
+    """The summaries of issues whose id is divisible by 50, against all: document, metadata and relevance of each hit."""
+    v = F.col("embeddings")
+    square = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    valid = _shown(spark, root).where((F.size(v) == 96) & (square > 0) & (square < float("inf")) & ~F.isnan(square))
+    fields = [c for c in valid.columns if c != "issue_id"]
+    one = valid.groupBy("issue_id").agg(F.max_by(F.struct(*fields), "embedded_at").alias("r")).select("issue_id", "r.*")
+    one = written(one)
+    hits = vectors.nearest(one, one.where("issue_id % 50 = 0"), K, "l2", "issue_id", "embeddings")
+    return explore.search_results(hits, one, "issue_id", "doc_text")
+
+
+def labels_joined(spark: SparkSession, root: str) -> DataFrame:
+    """Documents with the label of the vector of their number; those without are noise."""
+    labels = _vectors(spark, root).select(F.col("vec_id").alias("id"), "label")
+    return explore.with_labels(read(spark, root, "documents").select("doc_id", "source"), labels, "doc_id", "label")
+
+
+def label_names(spark: SparkSession, root: str) -> DataFrame:
+    label = text.label_text_or_unknown(F.col("cluster_label"))
+    return read(spark, root, "helpdesk_summaries_embeddings").groupBy(label.alias("label")).agg(F.count("*").alias("n"))
+
+
+def aligned_lists(spark: SparkSession, root: str) -> DataFrame:
+    """A document's words and lines as two lists, cut to the shorter one."""
+    lists = read(spark, root, "documents").select("doc_id", F.split("text", " ", -1).alias("word"), F.split("text", "\n", -1).alias("line"))
+    return explore.aligned(lists, ["word", "line"])
 
 
 def tuning_grid(spark: SparkSession, root: str) -> DataFrame:
@@ -130,8 +169,7 @@ def _tuned(spark: SparkSession, root: str, method: str) -> DataFrame:
     v = _vectors(spark, root).cache()
     found = tuning.tune(method, lambda p: density.score_configuration(v, p))
     v.unpersist()
-    names = list(found.trials[0]) if found.trials else ["run_id"]
-    return spark.createDataFrame([tuple(t[k] for k in names) for t in found.trials], names if found.trials else "run_id int")
+    return found.table(spark)
 
 
 def cluster_tune_random(spark: SparkSession, root: str) -> DataFrame:
@@ -142,11 +180,18 @@ def cluster_tune_tpe(spark: SparkSession, root: str) -> DataFrame:
     return _tuned(spark, root, "bayesian")
 
 
+def clustering_final_run(spark: SparkSession, root: str) -> DataFrame:
+    """The vectors clustered with the best configuration of the recorded trials, with their coordinates for a plot."""
+    ok = read(spark, root, "tuning_trials").where("trial_status = 'ok'")
+    best = tuning.select_best(ok, "loss", "trial_id").first().asDict()
+    return explore.coordinates(density.final_run(_vectors(spark, root), best, 3), "v", 3).drop("v")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         vector_topk_l2, vector_topk_cosine, vector_dim_check, knn_graph, core_distance, mutual_reachability, collection_upsert_ignore, color_key_profile, label_histogram,
-        label_noise_stats, cluster_score, outlier_trim_2d, outlier_trim_3d, hover_table_a, hover_table_b, result_metadata, tuning_grid, tuning_select_best, tuning_losses,
+        label_noise_stats, cluster_score, outlier_trim_2d, outlier_trim_3d, hover_table_a, hover_table_b, result_metadata, query_results, labels_joined, label_names, aligned_lists, clustering_final_run, tuning_grid, tuning_select_best, tuning_losses,
         hdbscan_labels, umap_layout, cluster_tune_random, cluster_tune_tpe,
     )
 }
@@ -167,6 +212,11 @@ _KEYS = ["issue_id", "issue_key", "doc_text", "components", "country", "token_co
 _FREE = {"issue_key", "doc_text", "components", "country"}
 
 
+_SHOWN_LINES = ", ".join(f"'{name}: ' || cast({column} as varchar)" for column, name in explore.SHOWN.items())
+_SHOWN_SQL = f"""t as (select issue_id, {", ".join(_TICKET_FIELDS)} from tickets qualify row_number() over (partition by issue_id order by exported_at desc) = 1),
+s as (select h.*, concat_ws(chr(10), {_SHOWN_LINES}) as shown from helpdesk_summaries_embeddings h left join t using (issue_id))"""
+
+
 def _trim_sql(dims: int) -> str:
     axes = "xyz"[:dims]
     cols = ", ".join(f"embedding[{i}]::double as {c}" for i, c in enumerate(axes, 1))
@@ -196,7 +246,19 @@ from (select distinct least(query_id, id) as a, greatest(query_id, id) as b, dis
     "outlier_trim_3d": _trim_sql(3),
     "hover_table_a": "select d.doc_id, source, components, label, substr(text, 1, 100) || '...' as hover_text from documents d join embeddings e on e.vec_id = d.doc_id",
     "hover_table_b": "select d.doc_id, source, components, label, case when length(text) > 100 then substr(text, 1, 97) || '...' else text end as hover_text from documents d join embeddings e on e.vec_id = d.doc_id",
-    "result_metadata": "select doc_id, embedded_at, concat_ws(chr(10), 'issue_key: ' || issue_key, 'components: ' || components, 'country: ' || country, 'token_count: ' || token_count) as shown from helpdesk_summaries_embeddings",
+    "result_metadata": f"with {_SHOWN_SQL} select doc_id, embedded_at, shown from s",
+    "query_results": f"""
+with {_SHOWN_SQL}, q as (select *, list_sum(list_transform(embeddings, lambda x: x::double * x::double)) as square from s),
+v as (select * from q where len(embeddings) = 96 and square > 0 and isfinite(square) qualify row_number() over (partition by issue_id order by embedded_at desc) = 1),
+d as (select a.issue_id as query_id, b.issue_id as id, b.doc_text as document, b.shown, list_sum(list_transform(list_zip(a.embeddings, b.embeddings), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double))) as distance
+  from v a, v b where a.issue_id % 50 = 0)
+select query_id, cast(row_number() over (partition by query_id order by distance, id) as integer) as rank, id, document, shown, round(1 - distance, 4) as relevance from d
+qualify row_number() over (partition by query_id order by distance, id) <= {K}""",
+    "labels_joined": "select doc_id, source, coalesce(label, -1) as label from documents left join (select vec_id, min(label) as label from embeddings group by vec_id) on vec_id = doc_id",
+    "label_names": "select case when cluster_label is null then 'Unknown' when cluster_label = -1 then 'Noise' else cast(cluster_label as varchar) end as label, count(*) as n from helpdesk_summaries_embeddings group by 1",
+    "aligned_lists": """
+with l as (select doc_id, string_split(text, ' ') as w, string_split(text, chr(10)) as s from documents where text is not null)
+select doc_id, cast(i - 1 as integer) as position, w[i] as word, s[i] as line from (select *, unnest(range(1, least(len(w), len(s)) + 1)) as i from l)""",
     "tuning_grid": "select n_neighbors, n_components, min_cluster_size from (select unnest(range(5, 51, 5))::integer as n_neighbors), (select unnest(range(3, 16, 2))::integer as n_components), (select unnest(range(5, 31, 5))::integer as min_cluster_size)",
     "tuning_select_best": "select * from tuning_trials where trial_status = 'ok' and loss is not null order by coalesce(label_count between 10 and 75, false) desc, loss, trial_id limit 1",
     "tuning_losses": "select trial_id, round(loss + case when label_count between 10 and 75 then 0.0 else 0.15 end, 6) as penalised from tuning_trials where loss is not null and label_count is not null",

@@ -60,6 +60,10 @@ def page_text(spark: SparkSession, root: str) -> DataFrame:
     return pages.select("page_id", text.text_page(text.page_title(F.col("html")), F.col("url"), body).alias("content"))
 
 
+def page_sections(spark: SparkSession, root: str) -> DataFrame:
+    return _pages(spark, root).where("html is not null").select("page_id", web.sections(F.col("html")).alias("sections"))
+
+
 def page_latest(spark: SparkSession, root: str) -> DataFrame:
     return web.latest(_pages(spark, root)).select("page_id", "url")
 
@@ -81,7 +85,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_title, page_article, page_section_between_markers, page_links, page_links_filtered, help_links, page_filename, page_filename_last_wins, page_markdown, page_text,
-        page_latest, crawl_frontier, crawl_counters,
+        page_sections, page_latest, crawl_frontier, crawl_counters,
     )
 }
 
