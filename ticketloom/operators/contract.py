@@ -71,12 +71,16 @@ RULES = [
 _MARK, _END, _SELF = "﷐", "﷐﷑", "﷐﷒"
 
 
-def parsed(raw: Column) -> Column:
-    """struct(quoting_ok, cells) of a raw record; cells are unquoted, doubled quotes are single."""
+def _with(value: Column, body) -> Column:
+    """body(value) with the value worked out once, as the variable of a lambda; Catalyst would copy it to each place."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _of_record(raw: Column, body) -> Column:
+    """body(quoting_ok, cells) of a raw record; cells are unquoted, doubled quotes are single."""
     record = F.regexp_replace(F.coalesce(raw, F.lit("")), r"\r\z", "")
     # a separator at both ends makes the outer pieces like all others: lambdas need no position but even or odd
     text = F.replace(F.concat(F.lit(";"), record, F.lit(";")), F.lit(_MARK), F.lit(_SELF))
-    pieces = F.split(text, '"', -1)
 
     def bad(s: Column, i: Column) -> Column:
         return (i % 2 == 0) & (s != "") & (~s.startswith(";") | ~s.endswith(";") | s.contains("\n") | s.contains("\r"))
@@ -84,32 +88,53 @@ def parsed(raw: Column) -> Column:
     def rebuilt(s: Column, i: Column) -> Column:
         return F.when(i % 2 == 1, s).when(s == "", F.lit('"')).otherwise(F.replace(s, F.lit(";"), F.lit(_END)))
 
-    cells = F.split(F.array_join(F.transform(pieces, rebuilt), ""), _END, -1)
-    cells = F.transform(F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 2, F.lit(0))), lambda c: F.replace(c, F.lit(_SELF), F.lit(_MARK)))
-    ok = (F.size(pieces) % 2 == 1) & (F.size(F.filter(pieces, bad)) == 0)
-    return F.struct(ok.alias("quoting_ok"), cells.alias("cells"))
+    def of_pieces(pieces: Column) -> Column:
+        ok = (F.size(pieces) % 2 == 1) & (F.size(F.filter(pieces, bad)) == 0)
+        cells = F.split(F.array_join(F.transform(pieces, rebuilt), ""), _END, -1)
+        inner = _with(cells, lambda c: F.slice(c, F.lit(2), F.greatest(F.size(c) - 2, F.lit(0))))
+        return _with(F.transform(inner, lambda c: F.replace(c, F.lit(_SELF), F.lit(_MARK))), lambda c: body(ok, c))
+
+    return _with(F.split(text, '"', -1), of_pieces)
+
+
+def parsed(raw: Column) -> Column:
+    """struct(quoting_ok, cells) of a raw record."""
+    return _of_record(raw, lambda ok, cells: F.struct(ok.alias("quoting_ok"), cells.alias("cells")))
+
+
+_CELL = "array<struct<column_no:int,value:string>>"
+#: The column number of a record's own row, whose value is the reason of its shape.
+_RECORD = -1
+
+
+def cell_table(records: DataFrame, id_col: str = "row_id", raw_col: str = "raw_record", columns: list[int] | None = None) -> DataFrame:
+    """(row id, column_no, value) of every record that has good quoting and the right number of fields, of all columns or of
+    those asked for. A record of another shape has one row, of column -1, with the reason as its value.
 
+    One generator parses each record once."""
+    wanted = sorted(set(range(len(FIELDS)) if columns is None else columns))
 
-def cell_table(records: DataFrame, id_col: str = "row_id", raw_col: str = "raw_record") -> DataFrame:
-    """(row id, column_no, value) of every record that has good quoting and the right number of fields."""
-    p = records.select(F.col(id_col), parsed(F.col(raw_col)).alias("p"))
-    good = p.where(F.col("p.quoting_ok") & (F.size("p.cells") == len(FIELDS)))
-    return good.select(id_col, F.posexplode("p.cells").alias("column_no", "value"))
+    def cells_of(ok: Column, cells: Column) -> Column:
+        pairs = F.array(*[F.struct(F.lit(i).alias("column_no"), F.get(cells, F.lit(i)).alias("value")) for i in wanted]).cast(_CELL)
+        shape = lambda reason: F.array(F.struct(F.lit(_RECORD).alias("column_no"), F.lit(reason).alias("value"))).cast(_CELL)
+        return F.when(~ok, shape("quoting")).when(F.size(cells) != len(FIELDS), shape("column_count")).otherwise(pairs)
+
+    return records.select(F.col(id_col), F.inline(_of_record(F.col(raw_col), cells_of)))
 
 
 def rule_table(df: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """The rules as a table of a few rows: rule_no, column_no, rule, kind."""
+    """The rules as a table of a few rows: rule_no, column_no, rule, kind. The last one is that of a record's shape."""
     at = {name: i for i, (name, _) in enumerate(FIELDS)}
-    rows = [(i, at[r.column_name], r.rule, r.kind) for i, r in enumerate(rules)]
+    rows = [(i, at[r.column_name], r.rule, r.kind) for i, r in enumerate(rules)] + [(len(rules), _RECORD, "shape", "shape")]
     return df.sparkSession.createDataFrame(rows, "rule_no int, column_no int, rule string, kind string")
 
 
-def value_errors(cells: DataFrame, labels: DataFrame, id_col: str = "row_id", rules: list[Rule] = RULES) -> DataFrame:
-    """(row id, errors array<struct<column_name, rule>>) of the rows in which a rule is broken."""
+def _checked(cells: DataFrame, labels: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The cells that break a rule, with the rule; a record of bad shape breaks that of its shape."""
     checked = cells.join(F.broadcast(rule_table(cells, rules)), "column_no")  # as many rows as there are rules
     known = labels.select(F.col("label").alias("value"), F.lit("label").alias("kind"), F.lit(True).alias("known")).where("value is not null").distinct()
     checked = checked.join(known, ["value", "kind"], "left")
-    broken = F.lit(False)
+    broken = F.col("kind") == "shape"
     for i, r in enumerate(rules):
         if r.kind == "pattern":
             this = ~F.col("value").rlike(rf"\A(?:{r.pattern})\z")
@@ -118,20 +143,29 @@ def value_errors(cells: DataFrame, labels: DataFrame, id_col: str = "row_id", ru
         else:
             this = (F.col("value") != "") & F.col("known").isNull()
         broken = F.when(F.col("rule_no") == i, this).otherwise(broken)
+    return checked.where(broken)
+
+
+def _errors() -> Column:
     names = F.array(*[F.lit(name) for name, _ in FIELDS])
-    error = F.struct(F.get(names, F.col("column_no")).alias("column_name"), "rule")
-    return checked.where(broken).groupBy(id_col).agg(F.array_sort(F.collect_set(error)).alias("errors"))
+    error = F.when(F.col("column_no") >= 0, F.struct(F.get(names, F.greatest("column_no", F.lit(0))).alias("column_name"), "rule"))
+    return F.array_sort(F.collect_set(error))  # as many as there are rules at most
 
 
-def record_errors(records: DataFrame, labels: DataFrame, id_col: str = "row_id", raw_col: str = "raw_record") -> DataFrame:
+def value_errors(cells: DataFrame, labels: DataFrame, id_col: str = "row_id", rules: list[Rule] = RULES) -> DataFrame:
+    """(row id, errors array<struct<column_name, rule>>) of the rows in which a rule is broken."""
+    return _checked(cells.where(f"column_no <> {_RECORD}"), labels, rules).groupBy(id_col).agg(_errors().alias("errors"))
+
+
+def record_errors(records: DataFrame, labels: DataFrame, id_col: str = "row_id", raw_col: str = "raw_record", rules: list[Rule] = RULES) -> DataFrame:
     """(row id, reason, errors): the records that break the contract with the first reason that applies, one of
-    `quoting`, `column_count` and `value`; errors names the broken rules of the last."""
-    p = records.select(F.col(id_col), parsed(F.col(raw_col)).alias("p"))
-    reason = F.when(~F.col("p.quoting_ok"), "quoting").when(F.size("p.cells") != len(FIELDS), "column_count")
+    `quoting`, `column_count` and `value`; errors names the broken rules of the last. One row an id."""
+    at = {name: i for i, (name, _) in enumerate(FIELDS)}
+    cells = cell_table(records, id_col, raw_col, [at[r.column_name] for r in rules])
+    shape = F.max(F.when(F.col("column_no") == _RECORD, F.col("value")))  # quoting comes before column_count, also in order
+    found = _checked(cells, labels, rules).groupBy(id_col).agg(shape.alias("shape"), _errors().alias("errors"))
     none = F.array().cast("array<struct<column_name:string,rule:string>>")
-    shape = p.select(id_col, reason.alias("reason"), none.alias("errors")).where("reason is not null").distinct()
-    values = value_errors(cell_table(records, id_col, raw_col), labels, id_col)
-    return shape.unionByName(values.select(id_col, F.lit("value").alias("reason"), "errors"))
+    return found.select(id_col, F.coalesce("shape", F.lit("value")).alias("reason"), F.when(F.col("shape").isNull(), F.col("errors")).otherwise(none).alias("errors"))
 
 
 def load_records(records: DataFrame, labels: DataFrame, id_col: str = "row_id", raw_col: str = "raw_record") -> DataFrame:
