@@ -72,3 +72,15 @@ def test_long_tags_and_links_hide_nothing(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     items = spark.createDataFrame([(1, " ".join(words))], "item_id long, item_text string")
     assert {r.doc_id for r in leak.find_leaks(docs, items).collect()} == {0, 1}
+
+
+def test_one_scan_keeps_what_the_blocks_need(spark):
+    """The bitmap keeps every document with a passage and drops those that share little."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(20))) for i in range(30)]
+    docs = [(i, " ".join([word() for _ in range(30)] + (items[i][1].split()[3:16] if i < 30 else []))) for i in range(90)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    count, seen, least = leak._all_grams(iter([items[:15], items[15:]]), leak.MIN_WORDS)
+    kept = {r.doc_id for r in leak._sharing(df, seen, least, "text").collect()}
+    assert count == 2 and kept == set(range(30))

@@ -1,5 +1,6 @@
 import pytest
 
+from ticketloom.functions import tokens
 from ticketloom.llm import mixing
 
 
@@ -37,15 +38,16 @@ def test_edges(spark):
 
 @pytest.mark.parametrize("text", ["a b c", "x" * 500_000, " " * 300_000, "é 漢字"])
 def test_long_texts_are_counted_whole(text):
-    encode = mixing._encoding(mixing.TOKENIZER).encode_ordinary
-    assert "".join(mixing._pieces(text)) == text and sum(len(encode(p)) for p in mixing._pieces(text)) > 0
+    encode = tokens.encoding(mixing.TOKENIZER).encode_ordinary
+    assert "".join(tokens.pieces(text)) == text and sum(len(encode(p)) for p in tokens.pieces(text)) > 0
 
 
 def test_pieces_do_not_change_the_count(monkeypatch):
     """Cut before single spaces, also where a word is longer than a piece."""
     text = "one two  three " * 50 + "x" * 5000 + " four five\n\n six " * 30
-    whole = len(mixing._encoding(mixing.TOKENIZER).encode_ordinary(text))
-    monkeypatch.setattr(mixing, "PIECE", 40)
-    parts = list(mixing._pieces(text))
+    encode = tokens.encoding(tokens.TOKENIZER).encode_ordinary
+    whole = len(encode(text))
+    monkeypatch.setattr(tokens, "PIECE", 40)
+    parts = list(tokens.pieces(text))
     assert "".join(parts) == text and len(parts) > 10
-    assert sum(len(mixing._encoding(mixing.TOKENIZER).encode_ordinary(p)) for p in parts) == whole
+    assert sum(len(encode(p)) for p in parts) == whole

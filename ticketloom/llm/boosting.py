@@ -17,7 +17,7 @@ class Boosted:
         return np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(self.cuts)], 1).astype(np.int16)
 
     def fit(self, x: np.ndarray, y: np.ndarray, held: np.ndarray, precision: float = 0.97) -> Boosted:
-        """The held rows give the threshold: that of the lowest scored positive row down to which `precision` is met."""
+        """The held rows give the threshold: the middle of those at which `precision` is met and no more positive rows are lost."""
         used = ~held
         xs, ys = x[used], y[used].astype(float)
         self.cuts = [np.unique(np.quantile(xs[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
@@ -63,13 +63,13 @@ class Boosted:
             return 0.5
         order = np.argsort(-p, kind="stable")
         hit = np.cumsum(y[order]) / np.arange(1, len(p) + 1)
-        good = np.flatnonzero((hit >= precision) & (y[order] == 1))
-        if not len(good):
+        good = np.flatnonzero(hit >= precision)
+        found = good[y[order][good] == 1]
+        if not len(found):
             return 1.0
-        # between the lowest score kept and the next one
         scores = p[order]
-        after = scores[good[-1] + 1] if good[-1] + 1 < len(p) else 0.0
-        return float((scores[good[-1]] + after) / 2)
+        upper, last = scores[found[-1]], max(good[-1], found[-1] + 1)
+        return float((upper + (scores[last] if last < len(p) else 0.0)) / 2)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         if not len(x):

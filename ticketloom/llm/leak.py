@@ -12,8 +12,9 @@ Null and empty texts and items, and items of fewer than `min_words` words, match
 in one array. Repeated documents are reported each, repeated pairs once. Empty tables give an empty result. Only the named
 columns are read, so extra or clashing ones do no harm.
 
-The items are sent to every task in blocks of `BLOCK_CHARS` characters at most, whatever their number; each block
-meets all documents.
+The items are sent to every task in blocks of `BLOCK_CHARS` characters at most, whatever their number. Where there are
+several blocks, one scan first keeps the documents that share so many q-grams with any items as a passage needs, by a bitmap
+of fixed size of all items' q-grams, and the blocks meet only those; no document with a passage is left out.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticketloom.session import written
+
 Q = 12
 MIN_WORDS = 12
 EDITS = 2
@@ -34,6 +37,8 @@ EDITS = 2
 BLOCK_CHARS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
+#: Slots of the bitmap of all items' q-grams, as a power of 2; 16 MB.
+FILTER_BITS = 27
 
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\ufff9-\ufffb]")
 #: A tag of any length if it is made of attributes with values; else one of 300 characters, since prose may stand between < and >.
@@ -203,7 +208,7 @@ class Index:
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """All items, block by block; the driver holds one block at a time."""
+    """All items, block by block; the iterator holds one block at a time."""
     block, size = [], 0
     for r in items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col).distinct().toLocalIterator():
         if block and size + len(r[1]) > BLOCK_CHARS:
@@ -215,10 +220,42 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
         yield block
 
 
+def _all_grams(blocks: Iterator[list[tuple[int, str]]], min_words: int) -> tuple[int, np.ndarray, int]:
+    """(number of blocks, bitmap of the q-grams of all items, the least number of them that a passage holds)."""
+    seen, count, least = np.zeros(1 << (FILTER_BITS - 3), np.uint8), 0, 1 << 62
+    for block in blocks:
+        count += 1
+        index = Index(block, min_words=min_words)
+        slot = index.h >> np.uint64(64 - FILTER_BITS)
+        np.bitwise_or.at(seen, (slot >> np.uint64(3)).astype(np.int64), (1 << (slot & np.uint64(7))).astype(np.uint8))
+        least = min(least, int(index.least.min(initial=1 << 62)))
+    return count, seen, least
+
+
+def _sharing(docs: DataFrame, seen: np.ndarray, least: int, text_col: str) -> DataFrame:
+    """The documents that hold at least `least` q-grams of the bitmap."""
+    shared = docs.sparkSession.sparkContext.broadcast(seen)  # of fixed size
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep = []
+            for t in pdf[text_col]:
+                slot = grams(letters(t)[0]) >> np.uint64(64 - FILTER_BITS)
+                hit = shared.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
+                keep.append(int(hit.sum()) >= least)
+            yield pdf[np.array(keep, bool)]
+
+    return docs.mapInPandas(scan, docs.schema)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "item_text", min_words: int = MIN_WORDS) -> DataFrame:
     """(item_id, doc_id): each document with each item of which it holds `min_words` consecutive words."""
     spark = docs.sparkSession
     kind = f"{item_id} {items.schema[item_id].dataType.simpleString()}, {doc_id} {docs.schema[doc_id].dataType.simpleString()}"
+    read = docs.select(doc_id, text_col).where(F.col(text_col).isNotNull() & F.col(doc_id).isNotNull())
+    count, seen, least = _all_grams(_blocks(items, item_id, item_text), min_words)
+    if count > 1:
+        read = written(_sharing(read, seen, least, text_col))
     out = None
     for block in _blocks(items, item_id, item_text):
         shared = spark.sparkContext.broadcast(block)
@@ -229,6 +266,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_c
                 pairs = [(i, d) for d, t in zip(pdf[doc_id], pdf[text_col]) if t for i in index.found(t)]
                 yield pd.DataFrame(pairs, columns=[item_id, doc_id])
 
-        part = docs.select(doc_id, text_col).where(F.col(text_col).isNotNull() & F.col(doc_id).isNotNull()).mapInPandas(scan, kind)
+        part = read.mapInPandas(scan, kind)
         out = part if out is None else out.unionByName(part)
     return (spark.createDataFrame([], kind) if out is None else out).distinct()

@@ -12,56 +12,16 @@ occur. Empty tables give empty results. Columns of the input all stay; one named
 
 from __future__ import annotations
 
-import base64
-import re
-from collections.abc import Iterator
-from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Texts are encoded in pieces of about so many characters, cut before a single space, where the pattern always parts them.
-PIECE = 200_000
+from ticketloom.functions.tokens import TOKENIZER, token_count
+
 #: At most so many sources may have a target; the rates are sent to every task.
 MAX_SOURCES = 10_000
 
 
-_SPACE = re.compile(r"(?<=\S) (?=\S)")
-
-
-@lru_cache(maxsize=2)
-def _encoding(path: str):
-    import tiktoken
-
-    # Fixed value: the public pattern of this vocabulary.
-    pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
-def _pieces(text: str) -> Iterator[str]:
-    at = 0
-    while m := _SPACE.search(text, at + PIECE):
-        yield text[at : m.start()]
-        at = m.start()
-    yield text[at:]
-
-
-def token_counter(path: str = TOKENIZER):
-    """A pandas UDF text -> number of tokens."""
-
-    @F.pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = _encoding(path).encode_ordinary
-        for texts in batches:
-            yield pd.Series([sum(len(encode(p)) for p in _pieces(t)) if t else 0 for t in texts], dtype="int64")
-
-    return count
-
-
 def draw(id_col: str, seed: int) -> Column:
     """A number in [0, 1) that depends on the id and the seed only."""
     return F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 11).cast("double") / F.lit(float(2**53))
@@ -69,7 +29,7 @@ def draw(id_col: str, seed: int) -> Column:
 
 def source_tokens(docs: DataFrame, source_col: str = "source", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """(source, n_docs, n_tokens), summed before the shuffle."""
-    counted = docs.select(F.col(source_col).alias("source"), token_counter(tokenizer)(F.col(text_col)).alias("n"))
+    counted = docs.select(F.col(source_col).alias("source"), token_count(F.col(text_col), tokenizer).alias("n"))
     return counted.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"))
 
 
@@ -113,7 +73,7 @@ def mix_report(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", sour
     """Per target source: what there is, the rate, and the share that the mix really has."""
     from ticketloom.session import written
 
-    counted = written(docs.select(F.col(id_col), F.col(source_col), token_counter(tokenizer)(F.col(text_col)).alias("n")))
+    counted = written(docs.select(F.col(id_col), F.col(source_col), token_count(F.col(text_col), tokenizer).alias("n")))
     tokens = counted.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"))
     plan = rates(tokens, targets, total_tokens)
     got = with_copies(counted, plan, id_col, source_col, seed).groupBy(F.col(source_col).alias("source_name"))

@@ -40,8 +40,10 @@ from ticketloom.session import least_hashed
 COMMON_WORDS = frozenset(COMMON)
 
 TYPES = ("email", "phone", "id_number", "address", "name")
-BITS = 17
+BITS = 21
 SAMPLE, MAX_CHARS = 6000, 20_000
+#: Streets of each class that trees are fitted on at least. Their labels follow from the span's own form, unlike those of other types.
+MIN_ADDRESSES = 20
 
 _CAP = r"[A-ZÀ-ÖØ-ÞĄĆĘŁŃŚŹŻ][\w'’]*(?:-[A-ZÀ-Þ][\w'’]*)*"
 _CAP_WORD = re.compile(_CAP)
@@ -205,7 +207,7 @@ def _may_name(w: str) -> bool:
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per word slot: times at a name's place, times capitalised."""
-    counts = np.zeros((2, 1 << BITS), np.int64)
+    counts = np.zeros((2, 1 << BITS), np.int32)
     known: dict[str, int] = {}
     for pdf in batches:
         for column in pdf.columns:
@@ -219,7 +221,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         if (s := known.get(w)) is None:
                             s = known[w] = word_slot(w)
                         counts[k, s] += 1
-    at = np.flatnonzero(counts.sum(0))
+    at = np.flatnonzero(counts[1] | counts[0])
     yield pd.DataFrame({"slot": at, "named": counts[0, at], "capital": counts[1, at]})
 
 
@@ -458,7 +460,7 @@ def _address_features(text: str, m: re.Match) -> list[float]:
     named = m["w1"] or m["w2"] or m["w3"] or ""
     tail = s if m["joined"] else named
     words = [w for w in re.findall(r"[\w'’]+", tail) if not w.isdigit()]
-    small = frozenset("de des du la le les d l del della delle dei degli da do das dos van den der het of the en y e st".split())
+    small = frozenset("de des du la le les d l del della delle dei degli da do das dos van den der het of the en y e st bis ter".split())
     content = [w for w in words if w.lower() not in small]
     caps = sum(w[0].isupper() for w in content)
     after = text[m.end() : m.end() + 30]
@@ -503,6 +505,8 @@ class Detector:
             y = np.array([b for _, b, _ in rows], int)
             if kind == "email" or not len(y) or y.min() == y.max():
                 continue  # one class only: the generator decides
+            if kind == "address" and np.bincount(y, minlength=2).min() < MIN_ADDRESSES:
+                continue  # too few that a label denies to learn from: the generator decides, but for those
             x = np.array([a for a, _, _ in rows], float)
             held = np.array([h for _, _, h in rows], bool)  # every fifth text with all its candidates
             cut = {"phone": _CONTEXT_NUMBER, "id_number": _CONTEXT_NUMBER, "name": _CONTEXT_NAME}.get(kind, 0)

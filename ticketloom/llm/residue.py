@@ -17,6 +17,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketloom.session import written
+
 SALTS = 16
 
 # Reply and forward prefixes that may stand before anything.
@@ -155,17 +157,23 @@ def forms(rows: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     return t.where("form <> ''").withColumns({"h1": F.xxhash64("form"), "h2": F.hash("form")})
 
 
-def form_table(rows: DataFrame, id_col: str, text_col: str, source_col: str, min_rows: int = 5, min_sources: int = 3) -> DataFrame:
-    """(h1, h2, form, n_rows, n_sources, kind) of each distinct form. The partial aggregate meets hot forms first."""
-    f = forms(rows, id_col, text_col, source_col).groupBy("h1", "h2", "source").agg(F.count("*").alias("n"), F.min("form").alias("form"))
+def _counted(found: DataFrame, min_rows: int, min_sources: int) -> DataFrame:
+    f = found.groupBy("h1", "h2", "source").agg(F.count("*").alias("n"), F.min("form").alias("form"))
     g = f.groupBy("h1", "h2").agg(F.min("form").alias("form"), F.sum("n").alias("n_rows"), F.count("source").alias("n_sources"))
     return g.withColumn("kind", residue_kind(F.col("form"), (F.col("n_rows") >= min_rows) & (F.col("n_sources") >= min_sources)))
 
 
+def form_table(rows: DataFrame, id_col: str, text_col: str, source_col: str, min_rows: int = 5, min_sources: int = 3) -> DataFrame:
+    """(h1, h2, form, n_rows, n_sources, kind) of each distinct form. The partial aggregate meets hot forms first."""
+    return _counted(forms(rows, id_col, text_col, source_col), min_rows, min_sources)
+
+
 def find_residue(rows: DataFrame, id_col: str, text_col: str, source_col: str, min_rows: int = 5, min_sources: int = 3) -> DataFrame:
-    """(id, kind), one row per id whose text is residue. A form that a third of all rows share meets `SALTS` tasks."""
-    f = forms(rows, id_col, text_col, source_col)
-    bad = form_table(rows, id_col, text_col, source_col, min_rows, min_sources).where("kind is not null").select("h1", "h2", "kind")
+    """(id, kind), one row per id whose text is residue. A form that a third of all rows share meets `SALTS` tasks.
+
+    The masked forms are written once, for the counts and for the rows that join them."""
+    f = written(forms(rows, id_col, text_col, source_col))
+    bad = _counted(f, min_rows, min_sources).where("kind is not null").select("h1", "h2", "kind")
     bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     f = f.select("id", "h1", "h2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
     return f.join(bad, ["h1", "h2", "salt"]).groupBy("id").agg(F.min("kind").alias("kind"))
