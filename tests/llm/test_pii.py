@@ -107,3 +107,8 @@ def test_the_threshold_comes_from_held_out_rows():
     p, y = np.array([0.9, 0.8, 0.7, 0.3, 0.2, 0.1]), np.array([1, 1, 1, 0, 1, 0])
     assert Boosted._calibrated(p, y, 0.97) == 0.5 and Boosted._calibrated(p, y, 0.75) == pytest.approx(0.15)
     assert Boosted._calibrated(p, 1 - y, 0.97) == 1.0 and Boosted._calibrated(p[:0], y[:0], 0.97) == 0.5
+
+
+def test_a_street_behind_another_street_word(detector):
+    text = "The access of the office on the square was given to us, and the seat was changed to 107 bis chemin de la Source à Hallgard."
+    assert ["107 bis chemin de la Source"] == [text[a:b] for a, b, k, _ in detector.spans([text])[0] if k == "address"]

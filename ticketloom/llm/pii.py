@@ -383,6 +383,7 @@ def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
         if not _GROUP.search(text, p, q):
             continue
         for m in _STREETS.finditer(text, p, min(len(text), q)):
+            m = _STREETS.match(text, m.start()) or m  # what the window cut off
             f = _address_features(text, m)
             out.append(Candidate(m.start(), m.end(), "address", f, address_label(f)))
             done = m.end()
