@@ -211,8 +211,10 @@ def segment_votes(segs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     hashes = word_hashes(_code_points(_lower(text))[at], heads, np.diff(np.append(heads, len(at))))
     of_word = owner[at[heads]]
     k = np.bincount(of_word, minlength=len(segs))
-    common = np.bincount(of_word[np.isin(hashes, _COMMON_HASHES)], minlength=len(segs))
-    distinct = np.unique(of_word.astype(np.uint64) << np.uint64(32) | hashes)
+    near = _COMMON_HASHES[np.minimum(np.searchsorted(_COMMON_HASHES, hashes), len(_COMMON_HASHES) - 1)]
+    common = np.bincount(of_word[near == hashes], minlength=len(segs))
+    keys = np.sort(of_word.astype(np.uint64) << np.uint64(32) | hashes)
+    distinct = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
     variety = np.bincount((distinct >> np.uint64(32)).astype(np.int64), minlength=len(segs))
     token = ~space & before(space)
     token[0] = not space[0]
