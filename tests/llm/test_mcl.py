@@ -153,3 +153,15 @@ def test_markov_clustering_of_random_graphs(spark):
             break
     want = m.argmax(0)
     assert len(got) == n and list(got[range(n)]) == list(want)
+
+
+def test_pivots_grow_with_the_rows(spark, monkeypatch):
+    """A table that needs far more pivots than are sent to the tasks: small clusters are found whole."""
+    monkeypatch.setattr(mcl, "SAMPLE", 16)
+    monkeypatch.setattr(mcl, "LEAF_ROWS", 8)
+    monkeypatch.setattr(mcl, "LEAF_MAX", 40)
+    monkeypatch.setattr(mcl, "CELL_ROWS", 100, raising=False)
+    df, truth = table(spark, [(12, 0.6)] * 60 + [(80, 0.4)] * 4, noise=300, seed=11)
+    got = found(mcl.cluster_vectors(df, "id", "v"))
+    want = [sorted(i for i, c in truth.items() if c == k) for k in range(64)]
+    assert sum(w in got for w in want) >= 0.95 * len(want)

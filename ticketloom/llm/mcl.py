@@ -13,7 +13,8 @@ neighbours at least `min_similarity` near stay alone. Ties are broken by the sma
 are compared, so the result doesn't depend on the layout of tasks. An empty table gives an empty result. Only the named
 columns are read. A leaf of more than `LEAF_MAX` nodes is split by their next pivots until none is, so no task holds an
 unbounded group; in leaves that even the longest prefix of pivots cannot split, nodes fall into blocks by hash, whose stars
-share members in other leaves. Directions are told apart by a 64-bit key.
+share members in other leaves. Directions are told apart by a 64-bit key. Where leaves of `LEAF_ROWS` rows need more pivots than
+are sent to the tasks, pivots and rows meet in the cells of a coarser sample, so the pivots grow with the rows.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ MIN_SIMILARITY = 0.5
 #: Neighbours of one scale: the squared distance is at most so many times the smaller one to the 4th neighbour.
 SCALE = 2.0
 SAMPLE, LEAF_ROWS, LEAF_MAX, PREFIX = 4096, 150, 1500, 4
+#: Beyond `SAMPLE` pivots each stands in the so many cells nearest to it. Cells are the means of so many sampled rows a cell, after
+#: so many rounds; a block holds about so many of a cell's rows.
+ROUTES, MEAN_ROWS, MEAN_ROUNDS, CELL_ROWS = 32, 16, 3, 40_000
+#: A row is ranked against about so many times `SAMPLE` pivots of its cell; rows that found no star, of which there are fewer, more.
+RANKED, AGAIN_RANKED = 4, 8
 #: A row goes to its two nearest pivots, and to more that are about as near, up to so many.
 PROBES, NEAR = 4, 0.04
 #: Rows that found no star are indexed again among themselves and so many rows of each star, with more probes.
@@ -82,69 +88,169 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(once.unionByName(copied).withColumnRenamed("node", "id")), members
 
 
-def pivots_of(rows: DataFrame, n: int, leaf_rows: int) -> np.ndarray:
-    """Directions of the rows of least hash, about one for `leaf_rows` rows; at most `SAMPLE`.
+def pivots_of(rows: DataFrame, n: int, leaf_rows: int, most: int | None = None) -> np.ndarray:
+    """Directions of the rows of least hash, about one for `leaf_rows` rows; at most `most`, else `SAMPLE`.
 
     A cut-off of the hash, from n, filters before anything is sorted, so a small multiple of the sample leaves the scan."""
-    count = int(min(SAMPLE, max(1, n // leaf_rows)))
+    count = int(min(most or SAMPLE, max(1, n // leaf_rows)))
     h = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 40)).alias("h")
     cut = min(1 << 40, int((2 * count + 100) / max(n, 1) * (1 << 40)))
     got = rows.select("x", h, "id").where(F.col("h") < cut).orderBy("h", "id").limit(count).toPandas()
     return _directions(got) if len(got) else np.zeros((0, DIM), np.float32)
 
 
-def _paths(x: np.ndarray, pivots: np.ndarray, probes: int, reach: float) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+def _nearest(x: np.ndarray, pivots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the numbers of its k nearest pivots, the nearest first, and their similarities."""
+    parts = []
+    for at in range(0, len(x), 2000):
+        s = x[at : at + 2000] @ pivots.T
+        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        near = np.take_along_axis(s, top, 1)
+        order = near.argsort(1)[:, ::-1]
+        parts.append((np.take_along_axis(top, order, 1).astype(np.int64), np.take_along_axis(near, order, 1)))
+    return np.concatenate([t for t, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def _ranked(x: np.ndarray, pivots: np.ndarray, keys: np.ndarray, probes: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the keys of its nearest pivots, -1 where there are no more, and how many of them it probes."""
+    k = max(probes, PREFIX)
+    top, near = _nearest(x, pivots, min(k, len(pivots)))
+    used = np.maximum((near[:, :probes] >= near[:, :1] - reach).sum(1), min(2, probes, len(pivots)))
+    return np.pad(keys[top], ((0, 0), (0, k - top.shape[1])), constant_values=-1), used
+
+
+def _paths(top: np.ndarray, used: np.ndarray, probes: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """Per probe the rows that take it and the codes of their paths' prefixes: the probed pivot, then the row's nearest others.
 
-    A code packs up to `PREFIX` pivot numbers of 13 bits."""
-    k = min(max(probes, PREFIX), len(pivots))
-    s = x @ pivots.T
-    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    near = np.take_along_axis(s, top, 1)
-    order = near.argsort(1)[:, ::-1]
-    top, near = np.take_along_axis(top, order, 1).astype(np.int64), np.take_along_axis(near, order, 1)
-    use = near >= near[:, :1] - reach
-    use[:, :2] = True
+    A code is a 64-bit hash of up to `PREFIX` pivots' keys."""
+    k = top.shape[1]
     for p in range(min(probes, k)):
-        rows = np.flatnonzero(use[:, p])
-        code, codes = np.zeros(len(rows), np.int64), []
-        for step, c in enumerate([p, *range(p), *range(p + 1, k)][:PREFIX]):
-            code = code | (top[rows, c] + 1) << (13 * step)
-            codes.append(code)
+        rows = np.flatnonzero(used > p)
+        code, codes = np.zeros(len(rows), np.uint64), []
+        for c in [p, *range(p), *range(p + 1, k)][:PREFIX]:
+            code = (code ^ top[rows, c].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            code = code ^ code >> np.uint64(29)
+            codes.append(code.view(np.int64))
         yield rows, codes
 
 
-def big_prefixes(rows: DataFrame, pivots, probes: int, reach: float) -> DataFrame:
+def _means(x: np.ndarray, count: int) -> np.ndarray:
+    """Mean directions of `count` parts of the rows, by `MEAN_ROUNDS` rounds of k-means from the first rows."""
+    means = x[:count].copy()
+    for _ in range(MEAN_ROUNDS):
+        sums = np.zeros_like(means)
+        np.add.at(sums, _nearest(x, means, 1)[0][:, 0], x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        means = np.where(size > 0, sums / np.maximum(size, 1e-9), means)
+    return means
+
+
+def routed(rows: DataFrame, n: int, leaf_rows: int, probes: int, reach: float, ranked: int = RANKED) -> DataFrame:
+    """(id, n, x, top, used): the rows with the keys of their nearest pivots, of which there is one for `leaf_rows` rows.
+
+    The pivots are too many to be sent to each task. The means of a sample, `SAMPLE` at most, make cells: a row goes to its nearest
+    cell, a pivot to the `ROUTES` nearest, and there rows are ranked against about `ranked` times `SAMPLE` pivots. A cell with many
+    rows, as the pivots in it tell, is several blocks, each with all of the cell's pivots."""
+    h = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 40))
+    fine = written(rows.select("id", "x").where(h < (1 << 40) // leaf_rows))
+    count = min(SAMPLE, max(1, n // leaf_rows * ROUTES // (ranked * SAMPLE)))
+    context = rows.sparkSession.sparkContext
+    coarse = context.broadcast(_means(pivots_of(rows, n, 1, MEAN_ROWS * count), count))
+
+    def homes(batches: Iterator[pd.DataFrame], means=coarse) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"cell": _nearest(_directions(pdf), means.value, 1)[0][:, 0]})
+
+    at_home = {r.cell: r["count"] for r in fine.select("x").mapInPandas(homes, "cell long").groupBy("cell").count().collect()}  # a row a cell
+    kept = np.array(sorted(at_home), np.int64)  # cells without a pivot of their own are none
+    blocks = np.array([max(1, -(-at_home[c] * leaf_rows // CELL_ROWS)) for c in kept])
+    coarse = context.broadcast(coarse.value[kept])
+
+    def pivots_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                cells = _nearest(_directions(pdf), coarse.value, min(ROUTES, len(coarse.value)))[0]
+                for c in cells.T:
+                    at = np.repeat(np.arange(len(pdf)), blocks[c])
+                    block = np.arange(len(at)) - np.repeat(np.cumsum(blocks[c]) - blocks[c], blocks[c])
+                    yield pd.DataFrame({"cell": c[at], "block": block, "own": False, "id": pdf.id.to_numpy()[at], "n": 0, "x": pdf.x.to_numpy()[at]})
+
+    def rows_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                cell = _nearest(_directions(pdf), coarse.value, 1)[0][:, 0]
+                yield pd.DataFrame({"cell": cell, "block": pdf.id.to_numpy() % blocks[cell], "own": True, "id": pdf.id, "n": pdf.n, "x": pdf.x})
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, held, pivots, keys = None, [], None, None  # a block's pivots come before its rows
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            kind = pdf[["cell", "block", "own"]].to_numpy(np.int64)
+            cuts = np.flatnonzero((kind[1:] != kind[:-1]).any(1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(pdf)]):
+                part, block = pdf.iloc[a:b], tuple(kind[a, :2])
+                if block != here:
+                    here, held, pivots = block, [], None
+                if not kind[a, 2]:
+                    held.append(part[["id", "x"]])
+                    continue
+                if pivots is None:
+                    both = pd.concat(held or [part[:1]])
+                    pivots, keys, held = _directions(both), both.id.to_numpy(np.int64), []
+                top, used = _ranked(_directions(part), pivots, keys, probes, reach)
+                yield pd.DataFrame({"id": part.id.to_numpy(), "n": part.n.to_numpy(), "x": part.x.to_numpy(), "top": list(top), "used": used})
+
+    schema = "cell long, block long, own boolean, id long, n long, x binary"
+    both = fine.mapInPandas(pivots_in, schema).unionByName(rows.select("id", "n", "x").mapInPandas(rows_in, schema))
+    sorted_ = both.repartition("cell", "block").sortWithinPartitions("cell", "block", "own", "id")
+    return written(sorted_.mapInPandas(rank, "id long, n long, x binary, top array<long>, used int"))
+
+
+def _ranks(pivots, probes: int, reach: float):
+    """A function of a batch that gives its rows' ranked pivots: those sent to the tasks, or else those that its columns name."""
+
+    def of(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        if pivots is None:
+            return np.stack(pdf.top.to_numpy()), pdf.used.to_numpy()
+        return _ranked(_directions(pdf), pivots.value, np.arange(len(pivots.value)), probes, reach)
+
+    return of
+
+
+def big_prefixes(rows: DataFrame, ranks, probes: int) -> DataFrame:
     """(code, n): the prefixes that more than `LEAF_MAX` rows take. A batch counts before the shuffle."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                codes = np.concatenate([c for _, cs in _paths(_directions(pdf), pivots.value, probes, reach) for c in cs])
+                codes = np.concatenate([c for _, cs in _paths(*ranks(pdf), probes) for c in cs])
                 code, n = np.unique(codes, return_counts=True)
                 yield pd.DataFrame({"code": code, "n": n})
 
-    return rows.select("x").mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(f"n > {LEAF_MAX}")
+    return rows.mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(f"n > {LEAF_MAX}")
 
 
-def leafed(rows: DataFrame, pivots: np.ndarray, probes: int, reach: float) -> DataFrame:
-    """(leaf, id, n, x): each row once per probe. A leaf is the shortest prefix that at most `LEAF_MAX` rows take; what no
+def leafed(rows: DataFrame, pivots: np.ndarray | None, probes: int, reach: float) -> DataFrame:
+    """(leaf, id, n, x): each row once per probe, by the pivots or, without, by those that its columns name. A leaf is the shortest prefix that at most `LEAF_MAX` rows take; what no
     prefix splits falls into blocks by hash.
 
     The counts of large prefixes stay a table, of about a row for a thousand rows; Catalyst sends it to the tasks where its
     size is under the broadcast threshold, and shuffles beyond."""
-    shared = rows.sparkSession.sparkContext.broadcast(pivots)  # SAMPLE directions at most
-    big = written(big_prefixes(rows, shared, probes, reach))
+    shared = None if pivots is None else rows.sparkSession.sparkContext.broadcast(pivots)  # SAMPLE directions at most
+    ranks = _ranks(shared, probes, reach)
+    read = ["top", "used"] if pivots is None else ["x"]
+    big = written(big_prefixes(rows.select(*read), ranks, probes))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 ids, n, x = pdf.id.to_numpy(), pdf.n.to_numpy(), pdf.x.to_numpy()
-                for at, codes in _paths(_directions(pdf), shared.value, probes, reach):
-                    codes += [codes[-1]] * (PREFIX - len(codes))
+                for at, codes in _paths(*ranks(pdf), probes):
                     yield pd.DataFrame({"id": ids[at], "n": n[at], "x": x[at]} | {f"c{k}": c for k, c in enumerate(codes)})
 
-    out = rows.select("id", "n", "x").mapInPandas(scan, "id long, n long, x binary, " + ", ".join(f"c{k} long" for k in range(PREFIX)))
+    out = rows.select(*dict.fromkeys(["id", "n", "x", *read])).mapInPandas(scan, "id long, n long, x binary, " + ", ".join(f"c{k} long" for k in range(PREFIX)))
     out = out.withColumn("leaf", F.col("c0"))
     for k in range(PREFIX):
         # a prefix can only be large where its shorter one is, so the joins beyond the first have null keys but for those
@@ -270,10 +376,14 @@ def _by_leaf(of_leaf):
     return scan
 
 
-def _leafed(base: DataFrame, of_leaf, schema: str, rows: int, probes: int, reach: float) -> DataFrame:
-    pivots = pivots_of(base, base.count(), rows)
-    if not len(pivots):
-        return base.sparkSession.createDataFrame([], schema)
+def _leafed(base: DataFrame, of_leaf, schema: str, rows: int, probes: int, reach: float, ranked: int = RANKED) -> DataFrame:
+    n = base.count()
+    if n // rows > SAMPLE:
+        base, pivots = routed(base, n, rows, probes, reach, ranked), None
+    else:
+        pivots = pivots_of(base, n, rows)
+        if not len(pivots):
+            return base.sparkSession.createDataFrame([], schema)
     by_leaf = leafed(base, pivots, probes, reach).repartition("leaf").sortWithinPartitions("leaf")
     return written(by_leaf.mapInPandas(_by_leaf(of_leaf), schema))
 
@@ -309,7 +419,7 @@ def leftovers(base: DataFrame, table: DataFrame, placed: DataFrame) -> tuple[Dat
     out = base.join(placed.select("id").distinct(), "id", "left_anti")
     chosen = some.select("id").distinct().withColumn("free", F.lit(False))
     pool = written(out.withColumn("free", F.lit(True)).unionByName(base.join(chosen, "id")))
-    pairs = _leafed(pool.select("id", "n", "x"), _pair_leaf, _PAIRS, AGAIN_LEAF_ROWS, AGAIN_PROBES, AGAIN_NEAR)
+    pairs = _leafed(pool.select("id", "n", "x"), _pair_leaf, _PAIRS, AGAIN_LEAF_ROWS, AGAIN_PROBES, AGAIN_NEAR, AGAIN_RANKED)
     # one shuffle by the pair's first end: its pairs once each, and the neighbour with which neighbours and own copies are enough
     once = pairs.unionByName(_turned(pairs)).repartition("a").groupBy("a", "b").agg(F.min("code").alias("code"))
     upto = F.sum(F.col("code").bitwiseAND(7)).over(Window.partitionBy("a").orderBy("code", "b").rowsBetween(Window.unboundedPreceding, 0))
