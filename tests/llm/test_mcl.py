@@ -165,3 +165,18 @@ def test_pivots_grow_with_the_rows(spark, monkeypatch):
     got = found(mcl.cluster_vectors(df, "id", "v"))
     want = [sorted(i for i, c in truth.items() if c == k) for k in range(64)]
     assert sum(w in got for w in want) >= 0.95 * len(want)
+
+
+def test_every_two_rows_of_a_split_leaf_meet(spark, monkeypatch):
+    """In a leaf that no prefix splits, and in one that prefixes split, no pair is dropped; no part exceeds the bound by much."""
+    monkeypatch.setattr(mcl, "LEAF_MAX", 40)
+    df, _ = table(spark, [(150, 0.3)], noise=0, seed=3)
+    base, _ = mcl.nodes_of(mcl.valid(df, "id", "v"))
+
+    def meet(pdf):
+        return mcl.pd.DataFrame([(a, b) for a in pdf.id for b in pdf.id if a < b] + [(-1, len(pdf))], columns=["a", "b"])
+
+    for rows in (1000, 75):
+        kept = mcl._leafed(base, meet, "a long, b long", rows, 1, 0.0)
+        assert kept.where("a <> -1").distinct().count() >= (150 * 149 // 2 if rows == 1000 else 2 * (75 * 74 // 2))
+        assert kept.where("a = -1").agg(F.max("b")).first()[0] <= 60

@@ -12,8 +12,7 @@ to no cluster. An id embedded more than once counts once, by the direction of th
 neighbours at least `min_similarity` near stay alone. Ties are broken by the smaller key, and entries are rounded before they
 are compared, so the result doesn't depend on the layout of tasks. An empty table gives an empty result. Only the named
 columns are read. A leaf of more than `LEAF_MAX` nodes is split by their next pivots until none is, so no task holds an
-unbounded group; in leaves that even the longest prefix of pivots cannot split, nodes fall into blocks by hash, whose stars
-share members in other leaves. Directions are told apart by a 64-bit key. Where leaves of `LEAF_ROWS` rows need more pivots than
+unbounded group. Whatever the parts are, every two nodes of such a leaf also meet: each pair of its blocks by hash is compared. Directions are told apart by a 64-bit key. Where leaves of `LEAF_ROWS` rows need more pivots than
 are sent to the tasks, pivots and rows meet in the cells of a coarser sample, so the pivots grow with the rows.
 """
 
@@ -232,9 +231,10 @@ def big_prefixes(rows: DataFrame, ranks, probes: int) -> DataFrame:
     return rows.mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(f"n > {LEAF_MAX}")
 
 
-def leafed(rows: DataFrame, pivots: np.ndarray | None, probes: int, reach: float) -> DataFrame:
-    """(leaf, id, n, x): each row once per probe, by the pivots or, without, by those that its columns name. A leaf is the shortest prefix that at most `LEAF_MAX` rows take; what no
-    prefix splits falls into blocks by hash.
+def leafed(rows: DataFrame, pivots: np.ndarray | None, probes: int, reach: float, crossed: bool = False) -> DataFrame:
+    """(leaf, across, id, n, x): each row once per probe, by the pivots or, without, by those that its columns name. A leaf is the shortest prefix that at most `LEAF_MAX` rows take; what no
+    prefix splits falls into blocks by hash. With `crossed` the rows of a first prefix that was split also come in pairs of blocks
+    by hash (across), `LEAF_MAX` rows a pair, so that every two of them meet.
 
     The counts of large prefixes stay a table, of about a row for a thousand rows; Catalyst sends it to the tasks where its
     size is under the broadcast threshold, and shuffles beyond."""
@@ -260,7 +260,14 @@ def leafed(rows: DataFrame, pivots: np.ndarray | None, probes: int, reach: float
     # other blocks in each leaf, so that rows of several leaves join the blocks' stars
     last = F.col(f"n{PREFIX - 1}")
     block = F.when(last.isNotNull(), F.pmod(F.xxhash64("id", "leaf"), F.ceil(last / LEAF_MAX))).otherwise(F.lit(0))
-    return out.select(F.xxhash64("leaf", block).alias("leaf"), "id", "n", "x")
+    parts = F.array(F.struct(F.xxhash64("leaf", block).alias("leaf"), F.lit(False).alias("across")))
+    if crossed:
+        count = F.ceil(F.col("n0") * 2 / LEAF_MAX)  # 3 at least
+        own = F.pmod(F.xxhash64("id", "c0", F.lit(1)), count)
+        others = F.filter(F.sequence(F.lit(0).cast("long"), count - 1), lambda b: b != own)
+        pairs = F.transform(others, lambda b: F.struct(F.xxhash64("c0", F.least(b, own), F.greatest(b, own)).alias("leaf"), F.lit(True).alias("across")))
+        parts = F.when(F.col("n0").isNotNull(), F.concat(parts, pairs)).otherwise(parts)
+    return out.withColumn("to", F.explode(parts)).select("to.leaf", "to.across", "id", "n", "x")
 
 
 def _directions(pdf: pd.DataFrame) -> np.ndarray:
@@ -325,6 +332,8 @@ _PAIRS = "a long, b long, code long"
 
 def _star_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
     members, links = stars(pdf.id.to_numpy(np.int64), pdf.n.to_numpy(np.int64), _directions(pdf))
+    if pdf.across.iloc[0]:  # scales are those of a part of the neighbours: memberships are verified, links are not
+        links = []
     rows = [(True, a, b, d, s) for a, b, d, s in members] + [(False, a, b, w, 0.0) for a, b, w in links]
     return pd.DataFrame(rows, columns=["member", "a", "b", "w", "scale"])
 
@@ -384,7 +393,7 @@ def _leafed(base: DataFrame, of_leaf, schema: str, rows: int, probes: int, reach
         pivots = pivots_of(base, n, rows)
         if not len(pivots):
             return base.sparkSession.createDataFrame([], schema)
-    by_leaf = leafed(base, pivots, probes, reach).repartition("leaf").sortWithinPartitions("leaf")
+    by_leaf = leafed(base, pivots, probes, reach, crossed=True).repartition("leaf").sortWithinPartitions("leaf")
     return written(by_leaf.mapInPandas(_by_leaf(of_leaf), schema))
 
 
