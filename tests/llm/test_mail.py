@@ -75,6 +75,26 @@ def test_every_near_line_within_the_bound_is_retrieved(spark):
     assert got == {r[0] for r in rows[:-1]}
 
 
+def test_copies_of_earlier_mails(spark):
+    """An earlier mail pasted without any mark below the sender's own text is found, with typing errors too; a mail sent again, a
+    shared sentence, other numbers and a text that many mails hold are not."""
+    old = ["Hello,", "the upload of our award notice ends with a blank page every time", "Second try.", "we tried two other browsers and a colleague's computer without success", "the reference of the procedure is 2023-4711 and the deadline is near", "please tell us which office can unlock the stored draft again"]
+    typed = [s.replace("colleague's", "coleague's").replace("stored", "storred") for s in old]
+    steps = ["open the draft and wait until it is loaded", "choose the second tab and fill in each field", "press save and read the message at the top"]
+    own = "I come back to the question below because nobody answered it so far"
+    later = {
+        2: [own, *old], 3: [own, "Good day", *typed], 4: old, 5: [own, old[1], "this time it happened on the day before the holidays began"],
+        6: [own, *(s.replace("4711", "4712") for s in old)], 7: [own + " and it is urgent", *old[:4], "Yes.", *old[4:]],
+    }
+    rows = [(1, "2024-01-01", "\n".join(old))] + [(i, f"2024-01-0{i}", "\n".join(x)) for i, x in later.items()] + [(9, None, f"{own} today\n" + "\n".join(old))]
+    rows += [(100 + k, f"2024-02-{k % 28 + 1:02d}", "\n".join([f"case {k} of the list that we keep in our office {'abcdefghij'[k % 10] * 5}", *steps])) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, at string, text string")
+    marks = {(r.id, r.line_no) for r in mail.find_inherited(df, "id", "text").collect()}
+    got = {(r.id, r.line_no) for r in mail.find_inherited(df, "id", "text", "at").collect()} - marks
+    assert {x for x in got if x[0] < 100 and x[0] != 1} == {(2, k) for k in range(2, 8)} | {(3, k) for k in range(3, 9)} | {(7, k) for k in (2, 3, 4, 5, 7, 8)}
+    assert not {x for x in got if x[0] >= 100}
+
+
 def test_bounds_exceeded_tenfold():
     """Introductions, header blocks, closing formulas and device lines are as long as they are."""
     who = "Maria " + "Anna-Luise " * 200 + "Haldeley"

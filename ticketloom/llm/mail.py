@@ -3,9 +3,11 @@
 Method: every line's masked words give a 64-bit SimHash. Lines that recur as signature or notice text (below a closing
 formula, a signature mark or a ruler) are boilerplate seeds; the lines of all mails are retrieved against them through
 Hamming partition tables (16-bit parts, probed within two flipped bits), verified by Hamming and edit distance, and removed wherever they stand.
-Where an earlier message begins and which answers stand between its lines, fingerprints cannot tell, since the same
-sentence is new in one mail and quoted in another. The boundaries therefore come from the mail's own marks: quote marks,
-header blocks, introductions, forwarding rulers, closing formulas, signature marks.
+The boundaries of earlier messages come from the mail's own marks: quote marks, header blocks, introductions, forwarding
+rulers, closing formulas, signature marks. What the marks leave is compared with the earlier mails: each window of `WINDOW`
+lines has a fingerprint, its mail and its time; windows of earlier mails are retrieved through Hamming partition tables
+and verified by edit distance. One sentence alone tells nothing, since it is new in one mail and quoted in another; the
+lines are inherited where most of an earlier mail stands, by more than chance, below text of the sender's own.
 
 A null text gives no line; an empty or blank one neither. Lines are counted from 1 at each newline, blank ones included.
 Very long mails are read whole. Repeated rows of one id give each line once. Ties in counts are no boilerplate. Empty
@@ -21,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -35,6 +37,11 @@ SHINGLE = 4
 HAMMING, EDIT_RATE = 10, 0.15
 #: Parts of a fingerprint, of 16 bits each. Of `HAMMING` differing bits, one part has `HAMMING // PARTS` at most.
 PARTS, SALTS = 4, 16
+#: Lines of `MIN_WORDS` words in a row that are compared with earlier mails, the bits in which two windows may differ, and the
+#: parts of which all but that many agree. Of an earlier mail's windows at least `COVER` must stand in the later one, and the
+#: number of mails that would hold the same lines by chance, from their frequencies, may be `CHANCE` at most.
+WINDOW, WINDOW_HAMMING, WINDOW_PARTS = 3, 3, 5
+COVER, CHANCE = 0.5, 0.001
 _FLIPS = [sum(1 << b for b in bits) for n in range(HAMMING // PARTS + 1) for bits in combinations(range(16), n)]
 
 # Names of mail header fields in eight languages.
@@ -263,11 +270,11 @@ def masked(line: str) -> str:
     return " ".join(_TOKEN.findall(_DIGITS.sub("0", line.lower())))
 
 
-def simhashes(texts: list[str]) -> np.ndarray:
-    """Of each text the signs of the summed bits of its hashed character `SHINGLE`-grams, as signed 64-bit numbers.
+def _bit_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text how many of its hashed character `SHINGLE`-grams have each of 64 bits set, and how many grams there are.
 
     Character grams, since a typing error then changes few of a short line's shingles."""
-    out = np.zeros(len(texts), np.int64)
+    out, totals = np.zeros((len(texts), 64), np.int32), np.zeros(len(texts), np.int64)
     for at in range(0, len(texts), 1000):
         part = [t.ljust(SHINGLE) for t in texts[at : at + 1000]]
         sizes = np.array([len(t) for t in part])
@@ -277,51 +284,118 @@ def simhashes(texts: list[str]) -> np.ndarray:
         bits = np.unpackbits(h[inside].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         counts = sizes - SHINGLE + 1
         ends = np.cumsum(counts)
-        on = 2 * np.add.reduceat(bits, np.concatenate([[0], ends[:-1]]), axis=0, dtype=np.int32) > counts[:, None]
-        out[at : at + 1000] = np.packbits(on, axis=1).view(">u8")[:, 0].astype(np.uint64).view(np.int64)
-    return out
+        out[at : at + 1000] = np.add.reduceat(bits, np.concatenate([[0], ends[:-1]]), axis=0, dtype=np.int32)
+        totals[at : at + 1000] = counts
+    return out, totals
+
+
+def _signs(bits: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Signed 64-bit numbers whose bits are those that most grams have set."""
+    return np.packbits(2 * bits > totals[:, None], axis=1).view(">u8").reshape(-1).astype(np.uint64).view(np.int64)
+
+
+def simhashes(texts: list[str]) -> np.ndarray:
+    """Of each text the signs of the summed bits of its hashed character `SHINGLE`-grams, as signed 64-bit numbers."""
+    return _signs(*_bit_counts(texts))
 
 
 def _key(line: str) -> int:
     return xxhash.xxh64_intdigest(line) - 2**63
 
 
-def scanned(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+_WINDOW = "at long, pos int, n_windows int, l1 long, l2 long, l3 long, h1 long, h2 long, h3 long, code long, numbers long, shorts string"
+_WINDOW_COLUMNS = [x.split()[0] for x in _WINDOW.split(", ")]
+
+
+def _windows(mails: list[tuple], bits: np.ndarray, totals: np.ndarray, keys: np.ndarray) -> list[tuple]:
+    """The windows of a batch's mails. A mail is (id, at, counted, gaps): counted has (line_no, number of the distinct line,
+    numbers in it) of each line, gaps the short lines before each of them and after the last, as "line_no:key" words."""
+    out, firsts, meta = [], [], []
+    order = [c[1] for m in mails for c in m[2]]
+    at = 0
+    for i, t, counted, gaps in mails:
+        n = len(counted) - WINDOW + 1
+        for p in range(n):
+            firsts.append(at + p)
+            numbers = " ".join(c[2] for c in counted[p : p + WINDOW] if c[2])
+            meta.append((i, t, p, n, *(c[0] for c in counted[p : p + WINDOW]), numbers, " ".join(g for g in gaps[p : p + WINDOW + 1] if g)))
+        at += len(counted)
+    if not meta:
+        return out
+    order, firsts = np.array(order), np.array(firsts)
+    members = [order[firsts + k] for k in range(WINDOW)]
+    codes = _signs(sum(bits[m] for m in members), sum(totals[m] for m in members)).tolist()
+    hs = zip(*(keys[m].tolist() for m in members))
+    for (i, t, p, n, l1, l2, l3, numbers, shorts), h, code in zip(meta, hs, codes):
+        out.append((i, t, p, n, l1, l2, l3, *h, code, _key(numbers) if numbers else 0, shorts))
+    return out
+
+
+def scanned(rows: DataFrame, id_col: str, text_col: str, time_col: str | None = None) -> DataFrame:
     """Each mail's lines, read once. Rows with a zone: a line that the mail's marks show as not new (h null), or a new one of
-    `MIN_WORDS` words or more (h is the key of its masked text). Rows without: a batch's distinct masked lines with
-    n_below, the times they stand in a signature or notice, and n_new, in a mail's own text."""
+    `MIN_WORDS` words or more (h is the key of its masked text). Rows without, but with h: a batch's distinct masked lines with
+    n_below, the times they stand in a signature or notice, n_new, in a mail's own text, and their fingerprint. Rows with
+    neither: with a time, each window of `WINDOW` such new lines of a mail."""
     kind = rows.schema[id_col].dataType.simpleString()
-    columns = [id_col, "line_no", "zone", "h", "line", "n_new", "n_below"]
+    columns = [id_col, "line_no", "zone", "h", "line", "n_new", "n_below", "fingerprint"]
+    schema = f"`{id_col}` {kind}, line_no long, zone string, h long, line string, n_new long, n_below long, fingerprint long, {_WINDOW}"
+    time = F.unix_micros(F.col(time_col).cast("timestamp")) if time_col else F.lit(None).cast("long")
+
+    texts = {"zone", "line", "shorts"}
+
+    def frame(out: list[tuple], names: list[str], ids: object) -> pd.DataFrame:
+        # column by column, since pandas takes numbers beside None for floats and rounds 64-bit keys
+        filled = dict(zip(names, zip(*out))) if out else dict.fromkeys(names, ())
+        kinds = {c: object if c in texts else ids if c == id_col else "Int64" for c in columns + _WINDOW_COLUMNS}
+        return pd.DataFrame({c: pd.Series(list(filled[c]) if c in filled else [None] * len(out), dtype=kind) for c, kind in kinds.items()})
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out, counts = [], {}
-            for i, text in zip(pdf[id_col], pdf[text_col]):
+            ids = pdf[id_col].dtype if pdf[id_col].dtype == object else "Int64"
+            out, counts, mails = [], {}, []
+            for i, text, t in zip(pdf[id_col], pdf[text_col], pdf["__at"]):
                 if not text:
                     continue
+                timed, counted, gaps = not pd.isna(t), [], [""]
                 for k, (s, z) in enumerate(zip(*parse(text)), 1):
                     if z is None:
                         continue
                     if z != NEW:
-                        out.append((i, k, z, None, None, None, None))
+                        out.append((i, k, z, None, None, None, None, None))
                     if (z == NEW or z == SIGNATURE or z == NOTICE) and s.count(" ") >= MIN_WORDS - 1:
                         m = masked(s)
                         if m.count(" ") >= MIN_WORDS - 1:
                             if (c := counts.get(m)) is None:
-                                c = counts[m] = [0, 0, _key(m)]
+                                c = counts[m] = [0, 0, _key(m), len(counts)]
                             c[z != NEW] += 1
                             if z == NEW:
-                                out.append((i, k, z, c[2], None, None, None))
-            out += [(None, None, None, h, m, a, b) for m, (a, b, h) in counts.items()]
-            yield pd.DataFrame(out, columns=columns).astype({id_col: pdf[id_col].dtype if pdf[id_col].dtype == object else "Int64", "line_no": "Int64", "h": "Int64", "n_new": "Int64", "n_below": "Int64"})
-
-    return rows.select(id_col, text_col).where(F.col(text_col).isNotNull()).mapInPandas(scan, f"{id_col} {kind}, line_no long, zone string, h long, line string, n_new long, n_below long")
+                                out.append((i, k, z, c[2], None, None, None, None))
+                                counted.append((k, c[3], " ".join(_DIGITS.findall(s))))
+                                gaps.append("")
+                                continue
+                    if z == NEW and timed:
+                        gaps[-1] += f"{' ' if gaps[-1] else ''}{k}:{_key(s.lower())}"
+                if timed and len(counted) >= WINDOW:
+                    mails.append((i, int(t), counted, gaps))
+            bits, totals = _bit_counts(list(counts))
+            codes = _signs(bits, totals).tolist()
+            out += [(None, None, None, h, m, a, b, codes[k]) for m, (a, b, h, k) in counts.items()]
+            yield frame(out, columns, ids)
+            yield frame(_windows(mails, bits, totals, np.array([c[2] for c in counts.values()], np.int64)), [id_col, *_WINDOW_COLUMNS], ids)
+
+    read = rows.select(id_col, text_col, time.alias("__at")).where(F.col(text_col).isNotNull())
+    return read.mapInPandas(scan, schema)
 
 
 def line_table(scan: DataFrame) -> DataFrame:
-    """(h, line, n_new, n_below) of each distinct masked line."""
-    counted = scan.where("zone is null").groupBy("h")
-    return counted.agg(F.min("line").alias("line"), F.sum("n_new").alias("n_new"), F.sum("n_below").alias("n_below"))
+    """(h, line, n_new, n_below, fingerprint) of each distinct masked line."""
+    counted = scan.where("zone is null and h is not null").groupBy("h")
+    return counted.agg(F.min("line").alias("line"), F.sum("n_new").alias("n_new"), F.sum("n_below").alias("n_below"), F.min("fingerprint").alias("fingerprint"))
+
+
+def _few_edits(line: str, other: str) -> Column:
+    """Whether at most `EDIT_RATE` of the other's characters differ; the edit distance is given up beyond that bound."""
+    return F.expr(f"levenshtein({line}, {other}, cast(floor({EDIT_RATE} * length({other})) as int)) >= 0")
 
 
 def boilerplate(lines: DataFrame) -> DataFrame:
@@ -331,10 +405,11 @@ def boilerplate(lines: DataFrame) -> DataFrame:
     `EDIT_RATE` of the characters may differ; no pair within `HAMMING` bits is missed. The seeds, of which there are few, are
     entered under each value that their parts take with up to two bits flipped. Only fingerprints are shuffled; the texts join the retrieved pairs. Each distinct line is one row here,
     however frequent it is."""
-    fingerprint = F.pandas_udf(lambda s: pd.Series(simhashes(list(s)), dtype="int64"), LongType())
+    if "fingerprint" not in lines.columns:
+        lines = lines.withColumn("fingerprint", F.pandas_udf(lambda s: pd.Series(simhashes(list(s)), dtype="int64"), LongType())("line"))
     seed = (F.col("n_below") >= SEED_MAILS) & (F.col("n_below") >= SEED_SHARE * (F.col("n_below") + F.col("n_new")))
     # written, so that no line is fingerprinted again for the other sides of the joins
-    coded = written(lines.select("h", "line", seed.alias("seed"), (F.col("n_new") > 0).alias("new")).where("seed or new").withColumn("code", fingerprint("line")))
+    coded = written(lines.select("h", "line", F.col("fingerprint").alias("code"), seed.alias("seed"), (F.col("n_new") > 0).alias("new")).where("seed or new"))
     seeds, others = coded.where("seed").drop("seed", "new"), coded.where("not seed").drop("seed", "new")
 
     def parts(df: DataFrame, h: str, code: str, flips: list[int]) -> DataFrame:
@@ -346,24 +421,85 @@ def boilerplate(lines: DataFrame) -> DataFrame:
     near = parts(others, "h", "code", [0]).join(parts(seeds, "seed", "seed_code", _FLIPS), ["part", "value"])
     near = near.where(F.bit_count(F.col("code").bitwiseXOR(F.col("seed_code"))) <= HAMMING).select("h", "seed").distinct()
     near = near.join(others.select("h", "line"), "h").join(seeds.select(F.col("h").alias("seed"), F.col("line").alias("seed_line")), "seed")
-    near = near.where(F.levenshtein("line", "seed_line") <= EDIT_RATE * F.length("seed_line"))
+    near = near.where(_few_edits("line", "seed_line"))
     return seeds.select("h").unionByName(near.select("h")).distinct()
 
 
-def find_inherited(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no): the non-blank lines that the sender did not newly write."""
-    scan = written(scanned(rows, id_col, text_col))
-    bad = boilerplate(written(line_table(scan)))
+def _near_windows(first: DataFrame) -> DataFrame:
+    """(code, numbers, other): the codes with the same numbers that differ in 1 to `WINDOW_HAMMING` bits, both ways.
+
+    Of `WINDOW_PARTS` parts, so many less `WINDOW_HAMMING` agree whichever bits differ, so a table for each choice of that many
+    parts misses no pair."""
+    # windows with numbers of their own need no table
+    shared = first.where("numbers != 0").groupBy("numbers").agg(F.count("*").alias("n")).where("n > 1").select("numbers")
+    left = first.where("numbers = 0").unionByName(first.where("numbers != 0").join(shared, "numbers", "left_semi")).select("code", "numbers")
+    edges = [64 * k // WINDOW_PARTS for k in range(WINDOW_PARTS + 1)]
+    masks = [sum((1 << edges[p + 1]) - (1 << edges[p]) for p in chosen) for chosen in combinations(range(WINDOW_PARTS), WINDOW_PARTS - WINDOW_HAMMING)]
+    masks = [m - (m >> 63 << 64) for m in masks]  # as signed numbers
+    tables = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND(F.lit(m).cast("long")).alias("part")) for k, m in enumerate(masks)]))
+    met = left.select("code", "numbers", tables.alias("t")).groupBy("numbers", "t").agg(F.collect_list("code").alias("codes")).where(F.size("codes") > 1)
+    pairs = met.select("numbers", "codes", F.explode("codes").alias("code")).select("numbers", "code", F.explode("codes").alias("other"))
+    return pairs.where((F.col("code") != F.col("other")) & (F.bit_count(F.col("code").bitwiseXOR(F.col("other"))) <= WINDOW_HAMMING)).distinct()
+
+
+def earlier_copies(scan: DataFrame, lines: DataFrame, id_col: str, mails: int) -> DataFrame:
+    """(id, line_no): the new lines that copy an earlier mail, of `mails`, below text of the sender's own.
+
+    A window's origin is the earliest mail that holds a window near it, with the same numbers. The windows before and after it in
+    both mails are then compared too. Each line of a pair lies within `EDIT_RATE`. The short lines among and beside a window are
+    copies too if its origin has the same ones there. A mail that begins with its origin's text was sent again and is new; one in
+    which copies and answers alternate from the first line on cannot be told from it."""
+    w = scan.where("code is not null").select(F.col(id_col).alias("id"), *_WINDOW_COLUMNS)
+    here = F.struct("at", "id", "pos")
+    first = written(w.groupBy("code", "numbers").agg(F.min(here).alias("o"), (F.min("id") != F.max("id")).alias("again")))
+    near = _near_windows(first).join(first.select(F.col("code").alias("other"), "numbers", "o"), ["other", "numbers"]).select("code", "numbers", "o")
+    origins = near.unionByName(first.where("again").select("code", "numbers", "o")).groupBy("code", "numbers").agg(F.min("o").alias("o"))
+    hits = w.join(origins, ["code", "numbers"]).where((F.col("o.at") < F.col("at")) & (F.col("o.id") != F.col("id")))
+    # the other windows of the two mails that lie as far apart, however many bits differ
+    shifts = written(hits.select("id", F.col("o.id").alias("origin"), (F.col("pos") - F.col("o.pos")).alias("shift")).distinct())
+    theirs = w.select(F.col("id").alias("origin"), F.col("pos").alias("origin_pos"), "numbers", F.col("n_windows").alias("all"), *[F.col(f"h{k}").alias(f"oh{k}") for k in (1, 2, 3)], F.col("shorts").alias("origin_shorts"))
+    hits = w.drop("at", "code", "n_windows").join(shifts, "id").withColumn("origin_pos", F.col("pos") - F.col("shift")).join(theirs, ["origin", "origin_pos", "numbers"])
+    hits = written(hits.drop("numbers", "shift").distinct())
+    # each line near its counterpart
+    sides = F.explode(F.array(*[F.struct(F.col(f"h{k}").alias("h"), F.col(f"oh{k}").alias("oh")) for k in (1, 2, 3)]))
+    text = lambda h, name: lines.select(F.col("h").alias(h), F.col("line").alias(name))
+    place = ["id", "pos", "origin", "origin_pos"]
+    differing = hits.select(*place, sides.alias("s")).select(*place, "s.*").where("h != oh")
+    unlike = differing.select("h", "oh").distinct().join(text("h", "line"), "h").join(text("oh", "origin_line"), "oh").where(~_few_edits("line", "origin_line")).select("h", "oh")
+    hits = hits.join(differing.join(unlike, ["h", "oh"]).select(*place).distinct(), place, "left_anti")
+    # most of the origin, below own text
+    pair = hits.groupBy("id", "origin").agg(F.min("pos").alias("top"), F.count_distinct("origin_pos").alias("met"), F.max("all").alias("all"))
+    pair = pair.where(F.col("top") > 0).where(F.col("met") >= COVER * F.col("all")).select("id", "origin")
+    hits = written(hits.join(pair, ["id", "origin"], "left_semi"))
+    # more than chance
+    held = hits.select("id", "origin", F.explode(F.array("oh1", "oh2", "oh3")).alias("h")).distinct().join(lines.select("h", "n_new"), "h")
+    chance = held.groupBy("id", "origin").agg(F.sum(F.log(F.greatest("n_new", F.lit(1)) / F.lit(float(max(mails, 1))))).alias("p"))
+    chance = chance.where(F.col("p") + float(np.log(max(mails, 1))) <= float(np.log(CHANCE))).select("id", "origin")
+    hits = hits.join(chance, ["id", "origin"], "left_semi")
+    beside = F.transform(F.split("origin_shorts", " "), lambda x: F.split_part(x, F.lit(":"), F.lit(2)))
+    same = F.filter(F.split("shorts", " "), lambda x: (x != "") & F.array_contains(beside, F.split_part(x, F.lit(":"), F.lit(2))))
+    shorts = F.transform(same, lambda x: F.split_part(x, F.lit(":"), F.lit(1)).cast("long"))
+    return hits.select(F.col("id").alias(id_col), F.explode(F.concat(F.array("l1", "l2", "l3"), shorts)).alias("line_no")).distinct()
+
+
+def find_inherited(rows: DataFrame, id_col: str, text_col: str, time_col: str | None = None) -> DataFrame:
+    """(id, line_no): the non-blank lines that the sender did not newly write. Without a time, no mail is earlier than another."""
+    scan = written(scanned(rows, id_col, text_col, time_col))
+    lines = written(line_table(scan))
+    bad = boilerplate(lines)
     marked = scan.where("zone is not null and h is null").select(id_col, "line_no")
+    if time_col:
+        mails = rows.agg(F.approx_count_distinct(id_col)).first()[0]
+        marked = marked.unionByName(earlier_copies(scan, lines, id_col, mails))
     # salted: one notice may stand in a third of all mails; the right side has distinct lines only
     salted = bad.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     new = scan.where("zone is not null and h is not null").select(id_col, "line_no", "h", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("long").alias("salt"))
     return marked.unionByName(new.join(salted, ["h", "salt"], "left_semi").select(id_col, "line_no")).distinct()
 
 
-def newly_written(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def newly_written(rows: DataFrame, id_col: str, text_col: str, time_col: str | None = None) -> DataFrame:
     """(id, text): each mail's newly written lines; the boilerplate lines are sent to the tasks if few, else joined."""
-    drop = find_inherited(rows, id_col, text_col).groupBy(id_col).agg(F.collect_set("line_no").alias("gone"))
+    drop = find_inherited(rows, id_col, text_col, time_col).groupBy(id_col).agg(F.collect_set("line_no").alias("gone"))
     base = rows.groupBy(id_col).agg(F.min(text_col).alias(text_col)).join(drop, id_col, "left")
     kept = F.filter(
         F.transform(F.split(text_col, "\n"), lambda s, i: F.when(F.coalesce(F.array_contains("gone", (i + 1).cast("long")), F.lit(False)), F.lit(None)).otherwise(F.rtrim(F.replace(s, F.lit("_x000D_"), F.lit(""))))),

@@ -82,12 +82,12 @@ def p5_to_embed(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
-    return mail.find_inherited(read(spark, root, "tickets"), "issue_id", "description")
+    return mail.find_inherited(read(spark, root, "tickets"), "issue_id", "description", "created_at")
 
 
 def p6_new_text(spark: SparkSession, root: str) -> DataFrame:
     """Every description cut down to its newly written lines."""
-    return mail.newly_written(read(spark, root, "tickets"), "issue_id", "description")
+    return mail.newly_written(read(spark, root, "tickets"), "issue_id", "description", "created_at")
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
